@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
+from ledgerloom import session
 from ledgerloom.operators import pages
 from ledgerloom.sources.tables import table
 
@@ -284,8 +285,22 @@ def replies_from(spark: SparkSession, orders: DataFrame) -> DataFrame:
     return sql(spark, REPLIES_SQL, texts=texts)
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def replies_path(spark: SparkSession, folder: str) -> str:
+    """Where the replies of a table folder lie; written on first use."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _WRITTEN:
+        target = session.fresh_path(spark, "replies")
+        replies_from(spark, table(spark, folder, "orders")).write.parquet(target)
+        _WRITTEN[key] = target
+    return _WRITTEN[key]
+
+
 def replies(spark: SparkSession, folder: str) -> DataFrame:
-    return replies_from(spark, table(spark, folder, "orders"))
+    """The table of replies, as a batch job of the model would have left it."""
+    return spark.read.parquet(replies_path(spark, folder))
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -405,7 +420,7 @@ REPLY_CTE = WRITTEN_CTE + [
         "'direccion_cliente': direccion_cliente, 'distrito': distrito, 'items': items, "
         "'forma_pago': forma_pago, 'moneda': moneda, 'subtotal': subtotal, 'igv': igv, "
         "'total': total, 'detraccion': case when porcentaje is null then null else "
-        "{'porcentaje': porcentaje, 'monto': monto} end})::varchar as js from written",
+        "{'porcentaje': porcentaje::decimal(18,2), 'monto': monto} end})::varchar as js from written",
     ),
     ("fx_replies", _named(REPLIES_SQL, texts="texts")),
 ]

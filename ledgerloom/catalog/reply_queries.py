@@ -179,7 +179,7 @@ def _with_filename(spark, folder):
     "'razon_social_cliente': razon_social_cliente, 'direccion_cliente': direccion_cliente, "
     "'distrito': distrito, 'items': items, 'forma_pago': forma_pago, 'moneda': moneda, "
     "'subtotal': subtotal, 'igv': igv, 'total': total, 'detraccion': case when porcentaje is "
-    "null then null else {'porcentaje': porcentaje, 'monto': monto} end})::varchar "
+    "null then null else {'porcentaje': porcentaje::decimal(18,2), 'monto': monto} end})::varchar "
     "as datos_raw from invoices",
 )
 def raw_payload(spark, folder):

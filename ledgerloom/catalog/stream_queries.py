@@ -40,9 +40,11 @@ def stream_job_state(spark, folder):
 )
 def stream_ledger(spark, folder):
     base = session.fresh_path(spark, "stream-ledger")
-    replies = inp.replies_from(spark, table_stream(spark, folder, "orders"))
+    arriving = spark.readStream.schema(inp.replies(spark, folder).schema).parquet(
+        inp.replies_path(spark, folder)
+    )
     ledger.start(
-        replies.select("doc_id", "content", "total_tokens"),
+        arriving.select("doc_id", "content", "total_tokens"),
         f"{base}/ledger",
         f"{base}/checkpoint",
         AS_OF,

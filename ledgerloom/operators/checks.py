@@ -15,7 +15,7 @@ from ledgerloom.schemas import MONEY
 
 
 def _or_null(value: Column, rule: Column) -> Column:
-    return F.coalesce(rule, value.isNull())
+    return value.isNull() | rule
 
 
 def client_code_ok(code: Column) -> Column:

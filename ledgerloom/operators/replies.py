@@ -45,11 +45,15 @@ def parse(replies: DataFrame) -> DataFrame:
 
 
 def accepted_invoices(replies: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Only the accepted replies, as typed invoices keyed by ``id``."""
-    return (
-        parse(replies)
-        .where(F.col("accepted"))
-        .select(F.col(key).alias("id"), *INVOICE_FIELDS, "raw", "total_tokens")
+    """Only the accepted replies, as typed invoices keyed by ``id``.
+
+    The gate is the filter and nothing else, so it runs once per reply and the
+    typed parse only on what passed.
+    """
+    passed = unfence(replies).where(rp.is_json_object(F.col("body")))
+    parsed = passed.withColumn("raw", rp.parse_raw(F.col("body")))
+    return parsed.withColumns(rp.to_stored(F.col("raw"))).select(
+        F.col(key).alias("id"), *INVOICE_FIELDS, "raw", "total_tokens"
     )
 
 

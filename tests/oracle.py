@@ -81,7 +81,7 @@ def main() -> None:
     spark = build_session(
         "oracle",
         "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"},
+        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     folder = f"/root/testdata/sf{arguments.sf}"

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ledgerloom import fixed_values as fv
 from ledgerloom import session
 from ledgerloom.operators import pages
-from ledgerloom.sources.tables import table
+from ledgerloom.sources.tables import spread, table
 
 # --------------------------------------------------------------------- flat ledger
 ITEMS_SQL = """
@@ -293,18 +293,18 @@ def replies_path(spark: SparkSession, folder: str) -> str:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _WRITTEN:
         target = session.fresh_path(spark, "replies")
-        replies_from(spark, table(spark, folder, "orders")).write.parquet(target)
+        replies_from(spark, spread(table(spark, folder, "orders"))).write.parquet(target)
         _WRITTEN[key] = target
     return _WRITTEN[key]
 
 
 def replies(spark: SparkSession, folder: str) -> DataFrame:
     """The table of replies, as a batch job of the model would have left it."""
-    return spark.read.parquet(replies_path(spark, folder))
+    return spread(spark.read.parquet(replies_path(spark, folder)))
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return spread(table(spark, folder, "documents"))
 
 
 def paged_documents(spark: SparkSession, folder: str, first: int | None = None) -> DataFrame:
@@ -353,7 +353,8 @@ def typed_numbers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def forms(spark: SparkSession, folder: str) -> DataFrame:
-    filled = sql(spark, FORM_HEADS_SQL, heads=heads(spark, table(spark, folder, "orders")))
+    orders = spread(table(spark, folder, "orders"))
+    filled = sql(spark, FORM_HEADS_SQL, heads=heads(spark, orders))
     return filled.withColumn("items", F.expr(_array_of(FORM_ITEM_SQL))).drop("cents", "n_items")
 
 

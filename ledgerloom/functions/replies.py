@@ -17,17 +17,22 @@ def is_json_object(text: Column) -> Column:
     is therefore read inside a list and again as a member of an object: after a
     complete value, only ``,`` or the closing bracket may follow in each
     context, and no continuation is valid in both.  The text passes both reads
-    only when it is one value with nothing behind it.
+    only when it is one value with nothing behind it.  Neither schema names a
+    member of the text, so the reader checks it without building any value.
     """
-    in_list = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "ARRAY<STRING>", _STRICT)
+    in_list = F.from_json(
+        F.concat(F.lit("["), text, F.lit("]")), "ARRAY<STRUCT<none: STRING>>", _STRICT
+    )
     in_object = F.from_json(
-        F.concat(F.lit('{"v":'), text, F.lit("}")), "STRUCT<v: STRING>", _STRICT
+        F.concat(F.lit('{"v":'), text, F.lit("}")),
+        "STRUCT<malformed: STRING>",
+        {**_STRICT, "columnNameOfCorruptRecord": "malformed"},
     )
     verdict = (
         text.startswith("{")
         & text.endswith("}")
         & (F.size(in_list) == 1)
-        & in_object["v"].isNotNull()
+        & in_object["malformed"].isNull()
     )
     return F.coalesce(verdict, F.lit(False))
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
 
+_OPENING = "```json"
+_CLOSING = "```"
+_TO_END = 2**31 - 1
+
 
 def strip(text: Column) -> Column:
     """Trim every kind of Unicode white space from both ends, in linear time."""
@@ -38,10 +44,27 @@ def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    An expression that uses its input several times would have the input
+    computed each time when the optimizer moves it into a filter.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def unfence(content: Column) -> Column:
     """Remove a leading ```json and a trailing ``` and trim around both."""
-    opened = F.regexp_replace(strip(content), r"\A```json", "")
-    return strip(F.regexp_replace(opened, r"```\z", ""))
+
+    def opened(text: Column) -> Column:
+        rest = F.substring(text, len(_OPENING) + 1, _TO_END)
+        return F.when(text.startswith(_OPENING), rest).otherwise(text)
+
+    def closed(text: Column) -> Column:
+        rest = text.substr(F.lit(1), F.length(text) - len(_CLOSING))
+        return F.when(text.endswith(_CLOSING), rest).otherwise(text)
+
+    return strip(bind(bind(strip(content), opened), closed))
 
 
 def log_line(at: Column, message: Column) -> Column:

@@ -73,14 +73,9 @@ def item_arithmetic_ok(items: Column) -> Column:
     )
 
 
-def sum_ok(subtotal: Column, items: Column) -> Column:
+def sum_ok(subtotal: Column, items_sum: Column) -> Column:
     """Header subtotal is the sum of the items; a header without subtotal passes."""
-    return _or_null(subtotal, nm.within_tolerance(subtotal, nested_sum(items)))
-
-
-def base_amount(subtotal: Column, items: Column) -> Column:
-    """What VAT and total are computed from: the subtotal, or else the items."""
-    return F.coalesce(subtotal, nm.money(nested_sum(items)))
+    return _or_null(subtotal, nm.within_tolerance(subtotal, items_sum))
 
 
 def vat_ok(base: Column, igv: Column) -> Column:
@@ -124,7 +119,8 @@ RULES = (
 
 def _verdicts(strict_currency: bool) -> dict[str, Column]:
     c = F.col
-    base = base_amount(c("subtotal"), c("items"))
+    # VAT and total are computed from the subtotal, or else from the items.
+    base = F.coalesce(c("subtotal"), nm.money(c("items_sum")))
     return {
         "client_code": client_code_ok(c("codigo_cliente")),
         "payment": payment_ok(c("forma_pago")),
@@ -134,7 +130,7 @@ def _verdicts(strict_currency: bool) -> dict[str, Column]:
         "district_upper": uppercase_ok(c("distrito")),
         "decimals": two_decimals_ok(c("raw")),
         "item_arithmetic": item_arithmetic_ok(c("items")),
-        "items_sum": sum_ok(c("subtotal"), c("items")),
+        "items_sum": sum_ok(c("subtotal"), c("items_sum")),
         "vat": vat_ok(base, c("igv")),
         "total": total_ok(base, c("total")),
         "deduction": deduction_ok(c("total"), c("detraccion")),
@@ -144,9 +140,10 @@ def _verdicts(strict_currency: bool) -> dict[str, Column]:
 
 def check(invoices: DataFrame, strict_currency: bool = True) -> DataFrame:
     """Add one ``ok_<rule>`` column per rule."""
-    return invoices.withColumns(
+    summed = invoices.withColumn("items_sum", nested_sum(F.col("items")))
+    return summed.withColumns(
         {f"ok_{rule}": ok for rule, ok in _verdicts(strict_currency).items()}
-    )
+    ).drop("items_sum")
 
 
 def violations(invoices: DataFrame, strict_currency: bool = True) -> DataFrame:
@@ -154,7 +151,8 @@ def violations(invoices: DataFrame, strict_currency: bool = True) -> DataFrame:
     broken = [
         F.when(~ok, F.lit(rule)) for rule, ok in _verdicts(strict_currency).items()
     ]
-    return invoices.withColumn("violations", F.array_compact(F.array(*broken)))
+    summed = invoices.withColumn("items_sum", nested_sum(F.col("items")))
+    return summed.withColumn("violations", F.array_compact(F.array(*broken))).drop("items_sum")
 
 
 def summary(invoices: DataFrame, strict_currency: bool = True) -> DataFrame:

@@ -50,8 +50,8 @@ def accepted_invoices(replies: DataFrame, key: str = "doc_id") -> DataFrame:
     The gate is the filter and nothing else, so it runs once per reply and the
     typed parse only on what passed.
     """
-    passed = unfence(replies).where(rp.is_json_object(F.col("body")))
-    parsed = passed.withColumn("raw", rp.parse_raw(F.col("body")))
+    passed = replies.where(tx.bind(tx.unfence(F.col("content")), rp.is_json_object))
+    parsed = unfence(passed).withColumn("raw", rp.parse_raw(F.col("body")))
     return parsed.withColumns(rp.to_stored(F.col("raw"))).select(
         F.col(key).alias("id"), *INVOICE_FIELDS, "raw", "total_tokens"
     )
@@ -70,8 +70,7 @@ def token_cost(replies: DataFrame) -> DataFrame:
     Only an accepted reply adds to the metrics.
     """
     per_document = (
-        gate(replies)
-        .where(F.col("accepted"))
+        replies.where(tx.bind(tx.unfence(F.col("content")), rp.is_json_object))
         .groupBy("doc_id")
         .agg(F.sum(F.coalesce("total_tokens", F.lit(0))).alias("tokens_used"))
     )

@@ -14,6 +14,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of an input of few splits on all cores; larger inputs stay as they are.
+
+    A small file is one split, and a projection that is heavy on CPU would use
+    one core for it.  An input with at least as many splits as there are cores
+    is never shuffled here.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The same table read as a stream of files."""
     schema = table(spark, folder, name).schema

@@ -28,7 +28,7 @@ def append_new(
     was written in part, adds nothing twice.
     """
     once = (
-        batch.where(rp.is_json_object(tx.unfence(F.col("content"))))
+        batch.where(tx.bind(tx.unfence(F.col("content")), rp.is_json_object))
         .groupBy("doc_id")
         .agg(F.min(F.struct("content", "total_tokens")).alias("reply"))
         .select("doc_id", "reply.*")

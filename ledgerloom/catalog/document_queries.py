@@ -440,7 +440,7 @@ def extract_plug(spark, folder):
             raise ValueError("no answer")
         return '{"chars": %d}' % len(user), len(user) // 4
 
-    prompted = _prepared(spark, folder).where(F.col("user_prompt").isNotNull())
+    prompted = texts.prompted(_prepared(spark, folder))
     return extractors.extract_fields(prompted, count_characters).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "content", "total_tokens", "error"
     )

@@ -32,6 +32,16 @@ select l_orderkey as factura_id, l_linenumber as pos, l_partkey, l_suppkey,
 from {lineitem} left join {part} on p_partkey = l_partkey
 """
 
+# The same items without the description, which would take a join with part.
+AMOUNT_ITEMS_SQL = """
+select l_orderkey as factura_id, l_linenumber as pos, l_partkey, l_suppkey,
+  cast(l_quantity as int) as cantidad,
+  cast(l_extendedprice as decimal(18,2)) as precio_unitario,
+  cast(cast(l_quantity as int) * cast(l_extendedprice as decimal(18,2)) as decimal(18,2))
+    as subtotal
+from {lineitem}
+"""
+
 CODE_SQL = """case when o_custkey % 10 = 0 then null
        when o_custkey % 10 = 1 then cast(o_custkey as string)
        when o_custkey % 10 < 5 then lpad(cast(o_custkey as string), 8, '0')
@@ -58,6 +68,16 @@ from {{orders}} left join {{customer}} on c_custkey = o_custkey
   left join {{nation}} on n_nationkey = c_nationkey
 """
 
+# The same headers without name and district, which would take two joins.
+PLAIN_FACTURAS_SQL = f"""
+select o_orderkey as id, {CODE_SQL} as codigo_cliente,
+  {PAYMENT_SQL} as forma_pago, {CURRENCY_SQL} as moneda,
+  cast(o_totalprice as decimal(18,2)) as total,
+  {PERCENT_SQL} as detraccion_porcentaje,
+  o_orderdate as fecha_registro
+from {{orders}}
+"""
+
 # ------------------------------------------------------------------ nested invoices
 HEADS_SQL = f"""
 select o_orderkey as id, {CODE_SQL} as codigo_cliente,
@@ -232,6 +252,14 @@ def facturas(spark: SparkSession, folder: str) -> DataFrame:
     return sql(spark, FACTURAS_SQL, **_tables(spark, folder, "orders", "customer", "nation"))
 
 
+def amount_items(spark: SparkSession, folder: str) -> DataFrame:
+    return sql(spark, AMOUNT_ITEMS_SQL, **_tables(spark, folder, "lineitem"))
+
+
+def plain_facturas(spark: SparkSession, folder: str) -> DataFrame:
+    return sql(spark, PLAIN_FACTURAS_SQL, **_tables(spark, folder, "orders"))
+
+
 def _array_of(parts: dict[str, str]) -> str:
     members = ", ".join(f"'{name}', {text}" for name, text in parts.items())
     return f"transform(filter(sequence(0, n_items), n -> n > 0), i -> named_struct({members}))"

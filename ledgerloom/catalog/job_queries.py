@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.catalog import inputs as inp
 from ledgerloom.catalog.registry import query, stamp
+from ledgerloom.functions.rows import present
 from ledgerloom.operators import jobs, replies
 from ledgerloom.sources.tables import table
 
@@ -130,9 +131,9 @@ def jobs_deleted(spark, folder):
     "where j.status = 'COMPLETED' and r.doc_id % 8 in (0, 1, 2, 7)",
 )
 def job_results(spark, folder):
-    extracted = (
-        replies.field_count(inp.replies(spark, folder))
-        .where(F.col("accepted"))
-        .select(F.col("doc_id").alias("job_id"), "field_count", "total_tokens")
+    extracted = replies.field_count(inp.replies(spark, folder)).select(
+        F.col("doc_id").alias("job_id"),
+        present(F.col("field_count")).alias("field_count"),
+        "total_tokens",
     )
     return jobs.results(_jobs(spark, folder), extracted)

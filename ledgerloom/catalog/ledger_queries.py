@@ -41,7 +41,7 @@ def ledger_items_scan(spark, folder):
     "count(distinct codigo_cliente) as total_clientes from fx_facturas",
 )
 def ledger_stats(spark, folder):
-    return ledger.statistics(inp.facturas(spark, folder)).withColumn(
+    return ledger.statistics(inp.plain_facturas(spark, folder)).withColumn(
         "promedio_factura", F.round(F.col("promedio_factura").cast("double"), 2)
     )
 
@@ -64,7 +64,7 @@ def ledger_page(spark, folder):
     "left join fx_items i on i.factura_id = f.id",
 )
 def invoice_detail(spark, folder):
-    headers = inp.facturas(spark, folder).select("id", "total", "moneda")
+    headers = inp.plain_facturas(spark, folder).select("id", "total", "moneda")
     lines = inp.items(spark, folder).drop("l_partkey", "l_suppkey")
     return ledger.detail(headers, lines)
 
@@ -76,7 +76,7 @@ def invoice_detail(spark, folder):
     "(select distinct 3 * l_partkey as id from lineitem) r left join fx_facturas f on f.id = r.id",
 )
 def lookup_found(spark, folder):
-    headers = inp.facturas(spark, folder).select("id", "codigo_cliente", "total")
+    headers = inp.plain_facturas(spark, folder).select("id", "codigo_cliente", "total")
     return ledger.lookup(_requested(spark, folder), headers)
 
 
@@ -93,7 +93,7 @@ def _requested(spark, folder):
 )
 def lookup_missing(spark, folder):
     requested = table(spark, folder, "lineitem").select((F.col("l_partkey") * 20).alias("id"))
-    return ledger.missing(requested, inp.facturas(spark, folder))
+    return ledger.missing(requested, inp.plain_facturas(spark, folder))
 
 
 @query(
@@ -103,7 +103,7 @@ def lookup_missing(spark, folder):
     "'FACT-' || upper(substring(sha256(id::varchar), 1, 16)) as wide_code from fx_facturas",
 )
 def invoice_code(spark, folder):
-    return inp.facturas(spark, folder).select(
+    return inp.plain_facturas(spark, folder).select(
         "id",
         tx.invoice_code(F.col("id")).alias("codigo_factura"),
         tx.invoice_code(F.col("id"), 16).alias("wide_code"),
@@ -117,7 +117,7 @@ def invoice_code(spark, folder):
     "precio_unitario, cast(cantidad * precio_unitario as decimal(18,2)) as subtotal from fx_items",
 )
 def item_subtotals(spark, folder):
-    return money.item_subtotals(inp.items(spark, folder)).drop("descripcion")
+    return money.item_subtotals(inp.amount_items(spark, folder))
 
 
 @query(
@@ -129,7 +129,7 @@ def item_subtotals(spark, folder):
     "left join fx_items i on i.factura_id = f.id group by f.id) as t",
 )
 def totals(spark, folder):
-    return money.totals(inp.facturas(spark, folder), inp.items(spark, folder))
+    return money.totals(inp.plain_facturas(spark, folder), inp.amount_items(spark, folder))
 
 
 @query(
@@ -142,7 +142,7 @@ def totals(spark, folder):
     "when id % 7 = 0 then null else total end as total from fx_facturas) as t",
 )
 def deduction(spark, folder):
-    shifted = inp.facturas(spark, folder).select(
+    shifted = inp.plain_facturas(spark, folder).select(
         "id",
         "detraccion_porcentaje",
         F.expr("case when id % 3 = 0 then -total when id % 7 = 0 then null else total end").alias(
@@ -161,7 +161,7 @@ def deduction(spark, folder):
 )
 def money_display(spark, folder):
     currency = F.coalesce("moneda", F.lit(fv.DEFAULT_CURRENCY))
-    return inp.facturas(spark, folder).select(
+    return inp.plain_facturas(spark, folder).select(
         "id",
         nm.money_text(F.col("total")).alias("amount"),
         nm.currency_text(currency, F.col("total")).alias("with_currency"),

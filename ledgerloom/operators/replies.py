@@ -9,6 +9,7 @@ from ledgerloom import fixed_values as fv
 from ledgerloom.functions import numbers as nm
 from ledgerloom.functions import replies as rp
 from ledgerloom.functions import text as tx
+from ledgerloom.functions.rows import present
 from ledgerloom.schemas import INVOICE_FIELDS
 
 
@@ -47,13 +48,16 @@ def parse(replies: DataFrame) -> DataFrame:
 def accepted_invoices(replies: DataFrame, key: str = "doc_id") -> DataFrame:
     """Only the accepted replies, as typed invoices keyed by ``id``.
 
-    The gate is the filter and nothing else, so it runs once per reply and the
-    typed parse only on what passed.
+    Gate and parse run once per reply, the parse only on what passed.
     """
-    passed = replies.where(tx.bind(tx.unfence(F.col("content")), rp.is_json_object))
-    parsed = unfence(passed).withColumn("raw", rp.parse_raw(F.col("body")))
+    body = F.col("body")
+    parsed = unfence(replies).select(
+        F.col(key).alias("id"),
+        "total_tokens",
+        present(F.when(rp.is_json_object(body), rp.parse_raw(body))).alias("raw"),
+    )
     return parsed.withColumns(rp.to_stored(F.col("raw"))).select(
-        F.col(key).alias("id"), *INVOICE_FIELDS, "raw", "total_tokens"
+        "id", *INVOICE_FIELDS, "raw", "total_tokens"
     )
 
 

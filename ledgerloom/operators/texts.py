@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions import numbers as nm
 from ledgerloom.functions import text as tx
+from ledgerloom.functions.rows import present
 from ledgerloom.schemas import DEFAULTS, Settings
 
 
@@ -65,10 +66,18 @@ def prompts(documents: DataFrame) -> DataFrame:
     )
 
 
-def requests(prompted: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def prompted(documents: DataFrame) -> DataFrame:
+    """``doc_id, system_prompt, user_prompt`` of the documents that have a prompt."""
+    both = F.struct("system_prompt", "user_prompt")
+    return documents.select(
+        "doc_id", present(F.when(F.col("user_prompt").isNotNull(), both)).alias("prompt")
+    ).select("doc_id", "prompt.*")
+
+
+def requests(documents: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """One chat request per prompted document: ``doc_id, request`` as JSON."""
 
-    def message(role: str, column: str):
+    def message(role: str, column: str) -> Column:
         return F.struct(F.lit(role).alias("role"), F.col(column).alias("content"))
 
     body = F.struct(
@@ -80,9 +89,7 @@ def requests(prompted: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         F.lit(settings.temperature).alias("temperature"),
         F.lit(settings.top_p).alias("top_p"),
     )
-    return prompted.where(F.col("user_prompt").isNotNull()).select(
-        "doc_id", F.to_json(body).alias("request")
-    )
+    return prompted(documents).select("doc_id", F.to_json(body).alias("request"))
 
 
 def prompt_preview(user_prompt: Column) -> Column:

@@ -49,7 +49,7 @@ def money(value: Column) -> Column:
 
 def item_subtotal(quantity: Column, price: Column) -> Column:
     """Whole part of the quantity times the price; unreadable parts count as 0."""
-    whole = F.coalesce(quantity.try_cast("bigint"), F.lit(0))
+    whole = F.coalesce(quantity.try_cast("decimal(38,6)").try_cast("bigint"), F.lit(0))
     return money(whole * F.coalesce(price, F.lit(0).cast(MONEY)))
 
 
@@ -97,4 +97,4 @@ def currency_text(currency: Column, value: Column) -> Column:
 
 def shortest_text(value: Column) -> Column:
     """A decimal without trailing zeros: ``12``, ``12.5``."""
-    return F.regexp_replace(value.cast("string"), r"\.?0+$", "")
+    return F.regexp_replace(value.cast("string"), r"\.0+$|(\.[0-9]*[1-9])0+$", "$1")

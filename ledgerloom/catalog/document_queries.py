@@ -304,11 +304,26 @@ def doc_reply(spark, folder):
     "error, case when error is null then 11 else 0 end::bigint as field_count, "
     "case when error is null then total_tokens else 0 end as tokens_used, "
     "round(case when error is null then total_tokens else 0 end / 1000.0::double * 0.00015::double"
-    ", 9) as cost_estimate, 'gpt-4o-mini' as llm_model from answered",
+    ", 9) as cost_estimate, 'gpt-4o-mini' as llm_model, w.razon_social_cliente, w.moneda, "
+    "cast(w.total as decimal(18,2)) as total, len(w.items) as n_items "
+    "from answered a left join written w on 2 * w.id = a.doc_id and a.error is null",
 )
 def document_result(spark, folder):
     finished = plan.finish(_prepared(spark, folder), _replies_of_documents(spark, folder))
-    return finished.withColumn("cost_estimate", F.round("cost_estimate", 9))
+    return finished.select(
+        "doc_id",
+        "processing_stage",
+        "status",
+        "error",
+        "field_count",
+        "tokens_used",
+        F.round("cost_estimate", 9).alias("cost_estimate"),
+        "llm_model",
+        "extracted_data.razon_social_cliente",
+        "extracted_data.moneda",
+        "extracted_data.total",
+        F.size("extracted_data.items").alias("n_items"),
+    )
 
 
 UPLOAD_REASON = (

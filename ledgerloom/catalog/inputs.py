@@ -188,6 +188,10 @@ EVENTS_SQL = """
 select event_id, user_id as job_id, ts,
   case event_type when 'signup' then 'PENDING' when 'view' then 'PROCESSING'
     when 'click' then 'PROCESSING' when 'purchase' then 'COMPLETED' else 'FAILED' end as status,
+  case when event_type in ('signup', 'purchase')
+    then concat('job', cast(user_id as string), '.pdf') else null end as filename,
+  case when event_type = 'signup'
+    then cast(user_id * 791911 % 12000000 as bigint) else null end as size_bytes,
   case when event_type = 'error' and event_id % 2 = 0
     then concat('error ', cast(event_id as string)) else null end as error
 from {events}

@@ -16,7 +16,8 @@ RECORD_CTE = inp.EVENT_CTE + [
         "select job_id, arg_max(status, (ts, event_id)) as status, "
         "min(ts) as created_at, max(ts) filter (where status = 'PROCESSING') as started_at, "
         "max(ts) filter (where status in ('COMPLETED', 'FAILED')) as completed_at, "
-        "min(ts) filter (where status = 'PROCESSING') as first_started_at "
+        "min(ts) filter (where status = 'PROCESSING') as first_started_at, "
+        "max(filename) as filename, max(size_bytes) as size_bytes "
         "from fx_events group by job_id",
     ),
     (
@@ -50,7 +51,7 @@ def job_latest(spark, folder):
 @query(
     "job_status_view",
     inp.cte(*RECORD_CTE)
-    + f"select job_id, status, {stamp('created_at')} as created_at, "
+    + f"select job_id, status, filename, {stamp('created_at')} as created_at, "
     f"case when status = 'PROCESSING' then {stamp('started_at')} end as started_at, "
     f"case when status in ('COMPLETED', 'FAILED') then {stamp('completed_at')} end "
     "as completed_at, case when status = 'COMPLETED' then true end as result_available, "
@@ -63,7 +64,7 @@ def job_status_view(spark, folder):
 @query(
     "job_list",
     inp.cte(*RECORD_CTE)
-    + f"select job_id, status, {stamp('created_at')} as created_at, "
+    + f"select job_id, status, filename, {stamp('created_at')} as created_at, "
     f"case when status = 'COMPLETED' then {stamp('completed_at')} end as completed_at, "
     "case when status = 'FAILED' then coalesce(error, 'Unknown error') end as error "
     "from (select * from jobs order by created_at desc, job_id limit 10) as t",
@@ -115,7 +116,7 @@ def jobs_after_delete(spark, folder):
 @query(
     "jobs_deleted",
     inp.cte(*RECORD_CTE)
-    + "select d.job_id, j.status, j.job_id is not null as found "
+    + "select d.job_id, j.filename, j.status, j.job_id is not null as found "
     f"from {DELETED_SQL} d left join jobs j on j.job_id = d.job_id",
 )
 def jobs_deleted(spark, folder):
@@ -124,16 +125,33 @@ def jobs_deleted(spark, folder):
 
 @query(
     "job_results",
-    inp.cte(*RECORD_CTE, *inp.REPLY_CTE)
-    + "select r.doc_id as job_id, 11::bigint as field_count, r.total_tokens, "
+    inp.cte(*RECORD_CTE, *inp.INVOICE_CTE)
+    + "select v.id as job_id, 'COMPLETED' as status, 11::bigint as field_count, "
+    "cast(200 + v.id % 1300 as bigint) as tokens_used, v.razon_social_cliente, v.moneda, "
+    "v.total, len(v.items) as n_items, j.filename, "
+    "round_even(j.size_bytes / 1048576.0::double, 2)::double as file_size_mb, "
     f"{stamp('j.created_at')} as created_at, {stamp('j.completed_at')} as completed_at "
-    "from fx_replies r join jobs j on j.job_id = r.doc_id "
-    "where j.status = 'COMPLETED' and r.doc_id % 8 in (0, 1, 2, 7)",
+    "from invoices v join jobs j on j.job_id = v.id where j.status = 'COMPLETED'",
 )
 def job_results(spark, folder):
-    extracted = replies.field_count(inp.replies(spark, folder)).select(
+    extracted = replies.verdicts(inp.replies(spark, folder)).select(
         F.col("doc_id").alias("job_id"),
-        present(F.col("field_count")).alias("field_count"),
-        "total_tokens",
+        "status",
+        "field_count",
+        F.col("tokens").alias("tokens_used"),
+        present(F.col("extracted_data")).alias("data"),
+    )
+    return jobs.results(_jobs(spark, folder), extracted).select(
+        "job_id",
+        "status",
+        "field_count",
+        "tokens_used",
+        "data.razon_social_cliente",
+        "data.moneda",
+        "data.total",
+        F.size("data.items").alias("n_items"),
+        "filename",
+        "file_size_mb",
+        "created_at",
+        "completed_at",
     )
-    return jobs.results(_jobs(spark, folder), extracted)

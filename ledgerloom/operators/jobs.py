@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
+from ledgerloom.functions import numbers as nm
 
 
 def _order() -> Column:
@@ -22,8 +23,13 @@ def _ended(status: Column) -> Column:
     return status.isin(fv.COMPLETED, fv.FAILED)
 
 
+def _last_known(name: str) -> Column:
+    """The value of the last event that has one."""
+    return F.max_by(name, F.when(F.col(name).isNotNull(), _order())).alias(name)
+
+
 def records(events: DataFrame) -> DataFrame:
-    """One record per job: state, error, created, started, completed.
+    """One record per job: state, error, file, created, started, completed.
 
     ``created_at`` is the first event, ``started_at`` the last PROCESSING
     event, ``completed_at`` the last COMPLETED or FAILED event, as later
@@ -32,12 +38,21 @@ def records(events: DataFrame) -> DataFrame:
     status, ts = F.col("status"), F.col("ts")
     grouped = events.groupBy("job_id").agg(
         F.max_by(F.struct("status", "error"), _order()).alias("last"),
+        _last_known("filename"),
+        _last_known("size_bytes"),
         F.min("ts").alias("created_at"),
         F.max(F.when(status == fv.PROCESSING, ts)).alias("started_at"),
         F.max(F.when(_ended(status), ts)).alias("completed_at"),
     )
     return grouped.select(
-        "job_id", "last.status", "last.error", "created_at", "started_at", "completed_at"
+        "job_id",
+        "last.status",
+        "last.error",
+        "filename",
+        nm.rounded_megabytes(F.col("size_bytes")).alias("file_size_mb"),
+        "created_at",
+        "started_at",
+        "completed_at",
     )
 
 
@@ -48,6 +63,7 @@ def status_view(jobs: DataFrame) -> DataFrame:
     return jobs.select(
         "job_id",
         "status",
+        "filename",
         "created_at",
         F.when(status == fv.PROCESSING, F.col("started_at")).alias("started_at"),
         F.when(ended, F.col("completed_at")).alias("completed_at"),
@@ -62,6 +78,7 @@ def recent(jobs: DataFrame, limit: int = 10) -> DataFrame:
     shown = jobs.select(
         "job_id",
         "status",
+        "filename",
         "created_at",
         F.when(status == fv.COMPLETED, F.col("completed_at")).alias("completed_at"),
         F.when(
@@ -103,13 +120,13 @@ def without_deleted(jobs: DataFrame, deleted: DataFrame) -> DataFrame:
 def deleted_jobs(jobs: DataFrame, deleted: DataFrame) -> DataFrame:
     """What a deletion reports: each deleted job with its state, or not found."""
     wanted = deleted.select("job_id").distinct()
-    states = jobs.select("job_id", "status")
+    states = jobs.select("job_id", "filename", "status")
     return wanted.join(states, "job_id", "left").withColumn("found", F.col("status").isNotNull())
 
 
 def results(jobs: DataFrame, extracted: DataFrame) -> DataFrame:
     """Results of the completed jobs next to the job data."""
     done = jobs.where(F.col("status") == fv.COMPLETED).select(
-        "job_id", "created_at", "completed_at"
+        "job_id", "filename", "file_size_mb", "created_at", "completed_at"
     )
     return extracted.join(done, "job_id", "inner")

@@ -81,36 +81,45 @@ def token_cost(replies: DataFrame) -> DataFrame:
     return per_document.withColumn("cost_estimate", nm.token_cost(F.col("tokens_used")))
 
 
-def with_reply(documents: DataFrame, replies: DataFrame) -> DataFrame:
-    """Each document with its reply verdict; no reply means failed.
+def verdicts(replies: DataFrame) -> DataFrame:
+    """``doc_id, accepted, status, error, field_count, tokens, extracted_data`` per reply.
 
-    The reply is reduced to its verdict before the join, so no reply text is
-    shuffled.  An earlier error of the document stays.
+    The extracted invoice is one nested column, computed only where it is used.
     """
-    verdicts = field_count(replies).select(
+    parsed = parse(replies)
+    accepted = F.col("accepted")
+    return parsed.select(
         "doc_id",
         "accepted",
-        F.col("error").alias("reply_error"),
-        "field_count",
-        F.when(F.col("accepted"), F.col("total_tokens")).alias("tokens"),
+        "status",
+        "error",
+        F.when(accepted, rp.key_count(F.col("body"))).alias("field_count"),
+        F.when(accepted, F.coalesce("total_tokens", F.lit(0))).alias("tokens"),
+        F.when(accepted, F.struct(*INVOICE_FIELDS)).alias("extracted_data"),
     )
-    joined = documents.join(verdicts, "doc_id", "left")
+
+
+def with_reply(documents: DataFrame, replies: DataFrame) -> DataFrame:
+    """Each document with its reply verdict; no reply means failed.
+
+    The reply is reduced to verdict and invoice before the join, so no reply
+    text is shuffled.  An earlier error of the document stays.
+    """
+    judged = verdicts(replies).drop("status").withColumnRenamed("error", "reply_error")
+    joined = documents.join(judged, "doc_id", "left")
     failure = F.when(
         F.coalesce("accepted", F.lit(False)), F.lit(None).cast("string")
     ).otherwise(F.coalesce("reply_error", F.lit(fv.REPLY_STEP_ERROR + fv.BAD_REPLY)))
+    fine = F.col("error").isNull()
     return (
         joined.withColumn("error", F.coalesce("error", failure))
-        .withColumn(
-            "status",
-            F.when(F.col("error").isNull(), F.lit(fv.COMPLETED)).otherwise(F.lit(fv.FAILED)),
-        )
-        .withColumn(
-            "tokens_used",
-            F.when(F.col("error").isNull(), F.coalesce("tokens", F.lit(0))).otherwise(F.lit(0)),
-        )
-        .withColumn(
-            "field_count",
-            F.when(F.col("error").isNull(), F.col("field_count")).otherwise(F.lit(0)),
+        .withColumns(
+            {
+                "status": F.when(fine, F.lit(fv.COMPLETED)).otherwise(F.lit(fv.FAILED)),
+                "tokens_used": F.when(fine, F.col("tokens")).otherwise(F.lit(0)),
+                "field_count": F.when(fine, F.col("field_count")).otherwise(F.lit(0)),
+                "extracted_data": F.when(fine, F.col("extracted_data")),
+            }
         )
         .drop("accepted", "reply_error", "tokens")
     )

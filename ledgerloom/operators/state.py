@@ -86,6 +86,7 @@ def result(states: DataFrame) -> DataFrame:
         "processing_stage",
         "status",
         "error",
+        "extracted_data",
         "field_count",
         "tokens_used",
         nm.token_cost(F.col("tokens_used")).alias("cost_estimate"),

@@ -16,7 +16,10 @@ EXTRACTED = f"doc_id STRING, pages {PAGES}, error STRING"
 
 REPLY = "doc_id STRING, content STRING, total_tokens BIGINT, error STRING"
 
-JOB_EVENTS = "event_id BIGINT, job_id BIGINT, ts TIMESTAMP_NTZ, status STRING, error STRING"
+JOB_EVENTS = (
+    "event_id BIGINT, job_id BIGINT, ts TIMESTAMP_NTZ, status STRING, "
+    "filename STRING, size_bytes BIGINT, error STRING"
+)
 
 # Amounts are read at this width first, so that the two-decimals rule can be
 # checked before they are brought to their stored precision.

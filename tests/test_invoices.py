@@ -266,6 +266,8 @@ def test_job_states(spark):
             (6, 3, T(2024, 1, 9), "PENDING", None),
         ],
         "event_id BIGINT, job_id BIGINT, ts TIMESTAMP_NTZ, status STRING, error STRING",
+    ).withColumns(
+        {"filename": F.when(F.col("event_id") == 1, "a.pdf"), "size_bytes": F.lit(3 * MB)}
     )
     assert {r.job_id: r.status for r in jobs.latest(events).collect()} == {
         1: "FAILED", 2: "COMPLETED", 3: "PENDING"
@@ -279,7 +281,7 @@ def test_job_states(spark):
     assert timing == {1: 86_400_000, 2: 0, 3: None}
     view = {r.job_id: r for r in jobs.status_view(records).collect()}
     assert view[2].result_available and view[1].result_available is None
-    assert view[3].completed_at is None
+    assert view[3].completed_at is None and view[1].filename == "a.pdf"
 
 
 def test_state_log(spark):

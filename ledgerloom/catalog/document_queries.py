@@ -380,6 +380,130 @@ def integrity_verdict(spark, folder):
     )
 
 
+def _ingested(spark, folder):
+    """Opened files with the method of the first attempt that found text."""
+    text, key = F.col("text"), F.col("doc_id")
+    method = pages.first_method(
+        F.when(key % 2 == 0, text).otherwise("-- "),
+        F.when(key % 3 == 0, text),
+        F.when(key % 5 == 0, text).otherwise("0123456789"),
+    )
+    return intake.ingestion_verdict(
+        inp.opened(spark, folder).withColumn("extraction_method", method)
+    )
+
+
+INGESTED_CTE = (
+    CHOICE_CTE
+    + inp.OPENED_CTE
+    + [
+        (
+            "judged",
+            "select o.*, c.extraction_method, case when size_bytes is null then "
+            f"{literal(fv.FILE_MISSING)} || file_path when size_bytes > 10485760 then "
+            f"{literal(fv.OVERSIZE_TEXT[0])} || printf('%.1f', size_bytes / 1048576.0::double) || "
+            f"{literal(fv.OVERSIZE_TEXT[1] + '10' + fv.OVERSIZE_TEXT[2])} "
+            f"when open_error = 'corrupt' then {literal(fv.CORRUPT_FILE)} "
+            f"when open_error = 'empty' then {literal(fv.EMPTY_FILE)} "
+            f"when needs_pass then {literal(fv.PASSWORD_FILE)} "
+            f"when page_count = 0 then {literal(fv.ZERO_PAGES)} "
+            f"when not first_page_ok then {literal(fv.UNREADABLE_PAGE)} "
+            f"when open_error is not null then {literal(fv.OTHER_OPEN_ERROR)} || open_error "
+            f"when c.extraction_method = 'none' then {literal(fv.NO_TEXT_FOUND)} end as error "
+            "from fx_opened o join choices c on c.doc_id = o.doc_id",
+        ),
+        (
+            "ingested",
+            "select *, case when error is null then "
+            f"{literal(fv.VALIDATED_TEXT[0])} || page_count || {literal(fv.VALIDATED_TEXT[1])} || "
+            f"printf('%.1f', size_bytes / 1048576.0::double) || {literal(fv.VALIDATED_TEXT[2])} || "
+            "extraction_method end as message from judged",
+        ),
+    ]
+)
+
+
+@query(
+    "ingestion_verdict",
+    inp.cte(*INGESTED_CTE)
+    + "select doc_id, case when error is null then 'PROCESSING' else 'FAILED' end as status, "
+    "error, message, case when error is null then page_count end::bigint as page_count, "
+    "case when error is null then size_bytes / 1048576.0::double end as file_size_mb, "
+    "case when error is null then false end as password_protected, "
+    "case when error is null then true end as has_extractable_text, "
+    "case when error is null then extraction_method end as extraction_method, "
+    "case when error is null then 'PASSED' end as validation_status, "
+    "case when error is null then 'native_text' end as extraction_strategy from ingested",
+)
+def ingestion_verdict(spark, folder):
+    return _ingested(spark, folder).select(
+        "doc_id",
+        "status",
+        "error",
+        "message",
+        "page_count",
+        "file_size_mb",
+        "password_protected",
+        "has_extractable_text",
+        "extraction_method",
+        "validation_status",
+        "extraction_strategy",
+    )
+
+
+def _line(text: str) -> str:
+    return literal("[08:05:09] ") + " || " + text
+
+
+@query(
+    "processing_log",
+    inp.cte(
+        *INGESTED_CTE,
+        *inp.ASSEMBLED_CTE,
+        *inp.REPLY_CTE,
+        (
+            "steps",
+            "select i.doc_id, i.error as e1, i.message as m1, "
+            "case when i.error is null and p.raw_text = '' then "
+            f"{literal(fv.NO_ASSEMBLED_TEXT)} end as e2, p.raw_text, p.pages_with_text, "
+            f"length({STRIP_SQL.format('p.raw_text')}) as chars, "
+            f"length(p.raw_text) - length({CLEAN_SQL.format('p.raw_text')}) as removed, "
+            "coalesce(r.doc_id % 8 in (0, 1, 2, 7), false) as accepted "
+            "from ingested i join per_document p on p.doc_id = i.doc_id "
+            "left join fx_replies r on 2 * r.doc_id = i.doc_id",
+        ),
+    )
+    + "select doc_id, case when e1 is null and e2 is null and accepted then 'COMPLETED' "
+    "else 'FAILED' end as status, case when e1 is not null then 'Ingesta' "
+    "when e2 is not null then 'Extracción' else 'llm_processing' end as processing_stage, "
+    f"concat_ws('|', {_line(literal('Iniciando etapa: Ingesta'))}, {_line('m1')}, "
+    f"case when e1 is null then {_line(literal('Iniciando etapa: Extracción'))} end, "
+    "case when e1 is null and e2 is null then "
+    + _line(f"{literal(fv.EXTRACTED_TEXT[0])} || chars || {literal(fv.EXTRACTED_TEXT[1])} || "
+            f"pages_with_text || {literal(fv.EXTRACTED_TEXT[2])}")
+    + " end, case when e1 is null and e2 is null then "
+    + _line(literal("Iniciando etapa: Limpieza"))
+    + " end, case when e1 is null and e2 is null then "
+    + _line(f"{literal(fv.CLEANED_TEXT[0])} || removed || {literal(fv.CLEANED_TEXT[1])} || "
+            "printf('%.1f', round_even(removed / length(raw_text)::double * 100.0::double, 1)"
+            f"::double) || {literal(fv.CLEANED_TEXT[2])}")
+    + " end, case when e1 is null and e2 is null then "
+    + _line(literal("Iniciando etapa: llm_processing"))
+    + " end, case when e1 is null and e2 is null and accepted then "
+    + _line(literal("Extracción completada: 11 campos extraídos"))
+    + " end) as messages, '' as warnings, "
+    f"case when e1 is not null then {_line('e1')} when e2 is not null then {_line('e2')} "
+    f"when not accepted then {_line(literal(fv.REPLY_STEP_ERROR + fv.BAD_REPLY))} else '' end "
+    "as errors from steps",
+)
+def processing_log(spark, folder):
+    paged = _ingested(spark, folder).withColumn(
+        "pages", pages.page_array(F.col("text"), "\n", DEFAULTS.max_pages)
+    )
+    at = F.lit("2024-01-01 08:05:09").cast("timestamp_ntz")
+    return plan.trace(paged, _replies_of_documents(spark, folder), at)
+
+
 @query(
     "pdf_metadata",
     "select doc_id, case when doc_id % 3 = 0 then '' else source end as pdf_title, "

@@ -174,7 +174,9 @@ from {documents}
 """
 
 OPENED_SQL = """
-select doc_id, lang, source,
+select doc_id, lang, source, text, concat('landing/doc', cast(doc_id as string), '.pdf') as file_path,
+  case when doc_id % 31 = 0 then null when doc_id % 13 = 1 then cast(10747904 as bigint)
+    else n_chars end as size_bytes,
   case doc_id % 9 when 0 then 'corrupt' when 1 then 'empty' when 5 then 'xref table missing'
     else null end as open_error,
   (doc_id % 9 = 2 or doc_id % 18 = 0) as needs_pass,

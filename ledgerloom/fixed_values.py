@@ -67,6 +67,11 @@ PASSWORD_FILE = "PDF protegido con contraseña no soportado"
 ZERO_PAGES = "PDF no contiene páginas válidas"
 UNREADABLE_PAGE = "PDF corrupto: no se puede acceder a las páginas"
 OTHER_OPEN_ERROR = "Error inesperado analizando PDF: "
+FILE_MISSING = "Archivo no encontrado: "
+OVERSIZE_TEXT = ("Archivo excede tamaño máximo (", "MB > ", "MB)")
+VALIDATED_TEXT = ("Documento validado: ", " páginas, ", "MB, método: ")
+PASSED = "PASSED"
+NATIVE_TEXT = "native_text"
 NO_TEXT_FOUND = "PDF no contiene texto extraíble (posiblemente escaneado)"
 
 # --- fixed values: processing messages ---------------------------------------

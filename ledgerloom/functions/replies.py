@@ -33,10 +33,22 @@ def is_json_object(text: Column) -> Column:
         & text.endswith("}")
         & (F.size(in_list) == 1)
         & in_object["malformed"].isNull()
+        & ~_has_signed_infinity(text)
     )
     return F.coalesce(verdict, F.lit(False))
 
 
+def _has_signed_infinity(text: Column) -> Column:
+    """The number tokens +INF, -INF and +Infinity, which only the reader knows.
+
+    Looked for outside of string literals, and only where the letters occur.
+    """
+    unescaped = F.regexp_replace(text, r"\\.", "")
+    outside = F.regexp_replace(unescaped, '"[^"]*"', "")
+    found = F.regexp_like(outside, F.lit(r"[+-]INF|\+Infinity"))
+    return F.when(text.contains("INF") | text.contains("+Infinity"), found).otherwise(False)
+
+
 def parse_raw(text: Column) -> Column:
     """The invoice contract with amounts as wide as they were written."""
     return F.from_json(text, RAW_INVOICE, _STRICT)

@@ -56,14 +56,10 @@ def upload_verdict(files: DataFrame, settings: Settings = DEFAULTS) -> DataFrame
     )
 
 
-def integrity_verdict(files: DataFrame) -> DataFrame:
-    """Add ``is_valid, message, pages`` from what opening the file showed.
-
-    Needs ``open_error`` (``corrupt``, ``empty`` or another text), ``needs_pass``,
-    ``page_count`` and ``first_page_ok``.
-    """
+def integrity_message() -> Column:
+    """What opening the file showed to be wrong; empty when nothing is."""
     error = F.col("open_error")
-    message = (
+    return (
         F.when(error == "corrupt", F.lit(fv.CORRUPT_FILE))
         .when(error == "empty", F.lit(fv.EMPTY_FILE))
         .when(F.col("needs_pass"), F.lit(fv.PASSWORD_FILE))
@@ -72,7 +68,15 @@ def integrity_verdict(files: DataFrame) -> DataFrame:
         .when(error.isNotNull(), F.concat(F.lit(fv.OTHER_OPEN_ERROR), error))
         .otherwise(F.lit(""))
     )
-    return files.withColumn("message", message).withColumns(
+
+
+def integrity_verdict(files: DataFrame) -> DataFrame:
+    """Add ``is_valid, message, pages`` from what opening the file showed.
+
+    Needs ``open_error`` (``corrupt``, ``empty`` or another text), ``needs_pass``,
+    ``page_count`` and ``first_page_ok``.
+    """
+    return files.withColumn("message", integrity_message()).withColumns(
         {
             "is_valid": F.col("message") == "",
             "pages": F.when(F.col("message") == "", F.col("page_count")).otherwise(F.lit(0)),
@@ -80,6 +84,52 @@ def integrity_verdict(files: DataFrame) -> DataFrame:
     )
 
 
+def ingestion_verdict(files: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """The whole first step: add ``error, status`` and the facts about a valid file.
+
+    Checks in order: the file exists (``size_bytes`` is known), its size, its
+    integrity, and that some strategy found text (``extraction_method``).
+    Facts of a file that failed are null.
+    """
+    size = F.col("size_bytes")
+    shown_mb = nm.one_decimal(nm.megabytes(size))
+    before, between, after = fv.OVERSIZE_TEXT
+    oversize = F.concat(
+        F.lit(before), shown_mb, F.lit(between + _limit_text(settings.max_size_mb) + after)
+    )
+    method = F.coalesce("extraction_method", F.lit(fv.NO_METHOD))
+    error = (
+        F.when(size.isNull(), F.concat(F.lit(fv.FILE_MISSING), F.col("file_path")))
+        .when(size > settings.max_size_bytes, oversize)
+        .when(F.col("integrity") != "", F.col("integrity"))
+        .when(method == fv.NO_METHOD, F.lit(fv.NO_TEXT_FOUND))
+    )
+    head, middle, tail = fv.VALIDATED_TEXT
+    message = F.concat(
+        F.lit(head),
+        F.col("page_count").cast("string"),
+        F.lit(middle),
+        shown_mb,
+        F.lit(tail),
+        F.col("extraction_method"),
+    )
+    judged = files.withColumn("integrity", integrity_message()).withColumn("error", error)
+    fine = F.col("error").isNull()
+    return judged.withColumns(
+        {
+            "status": F.when(fine, F.lit(fv.PROCESSING)).otherwise(F.lit(fv.FAILED)),
+            "file_size_mb": F.when(fine, nm.megabytes(size)),
+            "page_count": F.when(fine, F.col("page_count")),
+            "extraction_method": F.when(fine, F.col("extraction_method")),
+            "password_protected": F.when(fine, F.lit(False)),
+            "has_extractable_text": F.when(fine, F.lit(True)),
+            "validation_status": F.when(fine, F.lit(fv.PASSED)),
+            "extraction_strategy": F.when(fine, F.lit(fv.NATIVE_TEXT)),
+            "message": F.when(fine, message),
+        }
+    ).drop("integrity")
+
+
 def metadata_columns(files: DataFrame) -> DataFrame:
     """Add the document properties of ``meta``, empty where absent."""
     names = ("title", "author", "creator", "producer")

@@ -46,18 +46,23 @@ def _page_block(number: Column, text: Column) -> Column:
     )
 
 
+def _kept(pages: Column, settings: Settings) -> Column:
+    """The first pages, trimmed, without those that are too short."""
+    first = F.filter(pages, lambda page: page["page_no"] <= settings.max_pages)
+    trimmed = F.transform(
+        first,
+        lambda page: F.struct(
+            page["page_no"].alias("page_no"), tx.strip(page["text"]).alias("text")
+        ),
+    )
+    return F.filter(trimmed, lambda page: F.length(page["text"]) > settings.min_page_chars)
+
+
 def assemble(documents: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Add ``raw_text, pages_with_text, total_characters`` from ``pages``."""
-    kept = F.filter(
-        "pages",
-        lambda page: (page["page_no"] <= settings.max_pages)
-        & (F.length(tx.strip(page["text"])) > settings.min_page_chars),
-    )
-    blocks = F.transform(
-        F.col("kept"), lambda page: _page_block(page["page_no"], tx.strip(page["text"]))
-    )
+    blocks = F.transform("kept", lambda page: _page_block(page["page_no"], page["text"]))
     return (
-        documents.withColumn("kept", kept)
+        documents.withColumn("kept", _kept(F.col("pages"), settings))
         .withColumn("raw_text", F.array_join(blocks, ""))
         .withColumn("pages_with_text", F.size("kept"))
         .withColumn("total_characters", F.length(tx.strip(F.col("raw_text"))))
@@ -129,6 +134,19 @@ def choose_method(attempts: DataFrame, settings: Settings = DEFAULTS) -> DataFra
     )
 
 
+def first_method(*texts: Column, settings: Settings = DEFAULTS) -> Column:
+    """The same choice for attempts that lie next to each other in one row."""
+    name = F
+    for method, text in zip(fv.EXTRACTION_METHODS, texts):
+        name = name.when(has_text(text, settings), F.lit(method))
+    return name.otherwise(F.lit(fv.NO_METHOD))
+
+
+def page_map(pages: Column, settings: Settings = DEFAULTS) -> Column:
+    """Kept pages as a map from page number to text, for use at the edge."""
+    return F.map_from_entries(_kept(pages, settings))
+
+
 def chosen_text(choices: DataFrame, attempts: DataFrame) -> DataFrame:
     """Each document with the text of its method; no choice means the default method."""
     wanted = choices.select(

@@ -19,6 +19,8 @@ JSON_CASES = [
     "{a:1}", '{"a":"\\ud800"}', '{"a":1}/*c*/', '{"a":1} {"b":2}', '{"a":[1,2}', '{"a":TRUE}',
     '{"a":1e5}', '{"a":"\\x"}', '{"a":"1,500.00"}', '{"a":{"b":[{"c":null}]}}', '{"a" : 1 }',
     '{"a":"}]"}', '{"":1}', '{"a":-}', '{"a":1.}', '{"a":+1}', '{"a":"\\u00e9"}', "{", "}",
+    '{"a":+INF}', '{"a":-INF}', '{"a":+Infinity}', '{"a":INF}', '{"a":"x, +INF"}',
+    '{"a":"\\"+INF"}', '{"a":"\\\\",b":+INF}', '{"a":"\\\\","b":-INF}', '{"+Infinity":NaN}',
     '{}{}', '{},', '{}}', '{}]', '{"malformed":"x"}', '{"none":1}', '{"v":1}', None,
 ]
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions import replies as rp
 from ledgerloom.functions import text as tx
-from ledgerloom.schemas import DEFAULTS, INVOICE_FIELDS, ITEM_FIELDS, Settings
+from ledgerloom.schemas import DEFAULTS, INVOICE_FIELDS, ITEM_FIELDS, ITEMS, Settings
 
 
 def as_of(day: datetime.date | None) -> Column:
@@ -21,16 +21,10 @@ def as_of(day: datetime.date | None) -> Column:
 def with_description(items: Column) -> Column:
     """Items that are stored: those with a description."""
     return F.coalesce(
-        F.filter(items, lambda item: item["descripcion"] != ""), F.array().cast(_ITEMS)
+        F.filter(items, lambda item: item["descripcion"] != ""), F.array().cast(ITEMS)
     )
 
 
-_ITEMS = (
-    "ARRAY<STRUCT<descripcion: STRING, cantidad: DECIMAL(18,4), "
-    "precio_unitario: DECIMAL(18,2), subtotal: DECIMAL(18,2)>>"
-)
-
-
 def raw_payload(invoices: DataFrame) -> DataFrame:
     """Add ``datos_raw``: the whole invoice as JSON text, for audits."""
     whole = F.struct(*[F.col(name) for name in INVOICE_FIELDS])
@@ -66,16 +60,18 @@ def header(
 
 
 def stored(
-    invoices: DataFrame, day: datetime.date | None = None, settings: Settings = DEFAULTS
+    invoices: DataFrame,
+    day: datetime.date | None = None,
+    settings: Settings = DEFAULTS,
+    registered_at: Column | None = None,
 ) -> DataFrame:
-    """Header, audit payload and stored items in one nested row."""
+    """Header, audit payload, stored items and registration time in one nested row."""
+    at = F.current_timestamp() if registered_at is None else registered_at
     return raw_payload(invoices).select(
         *header_columns(day, settings),
         "datos_raw",
         with_description(F.col("items")).alias("items"),
-        F.lit(None).cast("timestamp").alias("fecha_registro")
-        if "fecha_registro" not in invoices.columns
-        else F.col("fecha_registro"),
+        at.alias("fecha_registro"),
     )
 
 

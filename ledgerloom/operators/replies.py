@@ -82,7 +82,7 @@ def token_cost(replies: DataFrame) -> DataFrame:
 
 
 def verdicts(replies: DataFrame) -> DataFrame:
-    """``doc_id, accepted, status, error, field_count, tokens, extracted_data`` per reply.
+    """What each reply amounts to: verdict, counts, and the invoice.
 
     The extracted invoice is one nested column, computed only where it is used.
     """
@@ -96,16 +96,31 @@ def verdicts(replies: DataFrame) -> DataFrame:
         F.when(accepted, rp.key_count(F.col("body"))).alias("field_count"),
         F.when(accepted, F.coalesce("total_tokens", F.lit(0))).alias("tokens"),
         F.when(accepted, F.struct(*INVOICE_FIELDS)).alias("extracted_data"),
+        F.xxhash64("content").alias("text_hash"),
     )
 
 
+def one_per_document(replies: DataFrame) -> DataFrame:
+    """``verdicts`` reduced to one per document; an accepted reply goes first.
+
+    Further ties are broken by the text and the tokens of the reply.  The
+    reduction has a map-side part, so a document with very many replies reaches
+    a join as one row.
+    """
+    judged = verdicts(replies)
+    names = [name for name in judged.columns if name not in ("doc_id", "text_hash")]
+    rank = F.struct("accepted", "text_hash", "tokens")
+    best = judged.groupBy("doc_id").agg(F.max_by(F.struct(*names), rank).alias("best"))
+    return best.select("doc_id", "best.*")
+
+
 def with_reply(documents: DataFrame, replies: DataFrame) -> DataFrame:
     """Each document with its reply verdict; no reply means failed.
 
     The reply is reduced to verdict and invoice before the join, so no reply
     text is shuffled.  An earlier error of the document stays.
     """
-    judged = verdicts(replies).drop("status").withColumnRenamed("error", "reply_error")
+    judged = one_per_document(replies).drop("status").withColumnRenamed("error", "reply_error")
     joined = documents.join(judged, "doc_id", "left")
     failure = F.when(
         F.coalesce("accepted", F.lit(False)), F.lit(None).cast("string")

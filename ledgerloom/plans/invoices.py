@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import numbers as nm
@@ -31,12 +31,13 @@ def to_ledger(
     day: datetime.date | None = None,
     settings: Settings = DEFAULTS,
     filename: str | None = None,
+    registered_at: Column | None = None,
 ) -> DataFrame:
     """Nested ledger rows of the accepted replies."""
     invoices = replies.accepted_invoices(model_replies).withColumn(
         "filename", F.lit(filename).cast("string")
     )
-    return ledger.stored(invoices, day, settings)
+    return ledger.stored(invoices, day, settings, registered_at)
 
 
 def overview(model_replies: DataFrame) -> DataFrame:

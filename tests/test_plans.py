@@ -65,3 +65,30 @@ def test_no_forced_broadcast(spark, small):
             assert "BroadcastExchange" not in text_of(QUERIES[name](spark, small)), name
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hot_invoice_is_split_in_the_detail_join(spark):
+    """One invoice holds a third of the items; the join reads it in several tasks."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        headers = spark.range(0, 4000, 1, 4).select("id", F.lit("PEN").alias("moneda"))
+        items = spark.range(0, 90_000, 1, 8).selectExpr(
+            "if(id % 3 = 0, 17L, id % 3900) as factura_id", "id as pos", "uuid() as descripcion"
+        )
+        detail = ledger.detail(headers, items)
+        # 2,600 of the 4,000 headers have items.
+        assert len(detail.collect()) == 90_000 + 1_400
+        assert "skew=true" in detail._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

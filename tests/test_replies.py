@@ -166,3 +166,16 @@ def test_with_reply_keeps_first_error(spark):
     assert rows[0].error == "old" and rows[0].tokens_used == 0 and rows[0].status == "FAILED"
     assert rows[1].status == "COMPLETED" and rows[1].tokens_used == 100
     assert rows[2].status == "FAILED" and rows[3].status == "FAILED"
+
+
+def test_several_replies_of_one_document(spark):
+    documents = spark.createDataFrame([(1, None), (2, None)], "doc_id INT, error STRING")
+    many = spark.range(500).selectExpr(
+        "1 as doc_id", "concat('bad ', id) as content", "id as total_tokens"
+    )
+    good = spark.createDataFrame(
+        [(1, '{"moneda":"PEN"}', 7)], "doc_id INT, content STRING, total_tokens BIGINT"
+    )
+    rows = {r.doc_id: r for r in replies.with_reply(documents, many.unionByName(good)).collect()}
+    assert len(rows) == 2 and rows[1].tokens_used == 7
+    assert rows[1].extracted_data.moneda == "PEN" and rows[2].status == "FAILED"

@@ -14,6 +14,7 @@ DAY = datetime.date(2024, 1, 1)
 
 
 def same(left, right):
+    left, right = left.drop("fecha_registro"), right.drop("fecha_registro")
     return left.exceptAll(right).count() == 0 and right.exceptAll(left).count() == 0
 
 

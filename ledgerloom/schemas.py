@@ -8,8 +8,6 @@ from ledgerloom import fixed_values as fv
 
 BINARY = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
-LISTING = "path STRING, filename STRING, size_bytes BIGINT"
-
 PAGES = "ARRAY<STRUCT<page_no: INT, text: STRING>>"
 
 EXTRACTED = f"doc_id STRING, pages {PAGES}, error STRING"

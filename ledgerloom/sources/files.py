@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions import text as tx
-from ledgerloom.schemas import BINARY, LISTING
+from ledgerloom.schemas import BINARY
 
 PDF_GLOB = "*.[pP][dD][fF]"
 
@@ -55,40 +55,48 @@ def _described(files: DataFrame) -> DataFrame:
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """Name and size of every file, empty files included, without content.
 
-    The binary file source leaves out files of zero bytes.  Only the names of
-    the direct sub-folders are read on the driver; each sub-folder is listed in
-    a task, and files that lie directly in the folder form one more entry.
+    The binary file source leaves out files of zero bytes.  One task lists the
+    folder itself; its sub-folders are spread over the tasks, and each is listed
+    with all that lies below it.  No name passes through the driver.
     """
-    from pyarrow import fs
-
-    filesystem, root = fs.FileSystem.from_uri(_as_uri(folder))
-    entries = filesystem.get_file_info(fs.FileSelector(root, recursive=False))
-    folders = [entry.path for entry in entries if entry.type == fs.FileType.Directory]
-    rows = [(path, True) for path in folders] + [(root, False)]
     base = _as_uri(folder)
-    targets = spark.createDataFrame(rows, "folder STRING, deep BOOLEAN").repartition(
-        max(1, min(len(rows), 1000)), "folder"
-    )
+    entries = "path STRING, filename STRING, size_bytes BIGINT, is_folder BOOLEAN"
+    columns = ["path", "filename", "size_bytes", "is_folder"]
+    chunk = 10_000
 
-    def listing(batches: Iterator) -> Iterator:
+    def frames(found: list) -> Iterator:
         import pandas as pd
-        from pyarrow import fs as task_fs
+        from pyarrow import fs
+
+        for start in range(0, len(found), chunk):
+            rows = [
+                (info.path, info.base_name, info.size, info.type == fs.FileType.Directory)
+                for info in found[start : start + chunk]
+            ]
+            frame = pd.DataFrame(rows, columns=columns)
+            yield frame.astype({"size_bytes": "Int64"})
+
+    def top_level(batches: Iterator) -> Iterator:
+        from pyarrow import fs
+
+        for _ in batches:
+            source, root = fs.FileSystem.from_uri(base)
+            yield from frames(source.get_file_info(fs.FileSelector(root, recursive=False)))
+
+    def below(batches: Iterator) -> Iterator:
+        from pyarrow import fs
 
-        source, _ = task_fs.FileSystem.from_uri(base)
+        source, _ = fs.FileSystem.from_uri(base)
         for batch in batches:
-            for path, deep in zip(batch["folder"], batch["deep"]):
-                selector = task_fs.FileSelector(path, recursive=bool(deep))
-                found = [
-                    (info.path, info.base_name, info.size)
-                    for info in source.get_file_info(selector)
-                    if info.type == task_fs.FileType.File
-                ]
-                for start in range(0, len(found), 10_000):
-                    yield pd.DataFrame(
-                        found[start : start + 10_000], columns=["path", "filename", "size_bytes"]
-                    )
-
-    return targets.mapInPandas(listing, LISTING)
+            yield batch[~batch["is_folder"]]
+            for path in batch.loc[batch["is_folder"], "path"]:
+                inside = source.get_file_info(fs.FileSelector(path, recursive=True))
+                yield from frames([info for info in inside if info.type == fs.FileType.File])
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    top = spark.createDataFrame([(base,)], "folder STRING").mapInPandas(top_level, entries)
+    every = top.repartition(tasks, "path").mapInPandas(below, entries)
+    return every.select("path", "filename", "size_bytes")
 
 
 def write_files(files: DataFrame, folder: str, buckets: int = 16) -> int:

@@ -15,14 +15,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows of an input of few splits on all cores; larger inputs stay as they are.
+    """Rows of an input of few files on all cores; larger inputs stay as they are.
 
-    A small file is one split, and a projection that is heavy on CPU would use
-    one core for it.  An input with at least as many splits as there are cores
-    is never shuffled here.
+    A small Parquet file is one row group.  It may be cut into several splits,
+    but one of them gets all rows, and a projection that is heavy on CPU would
+    use one core.  An input with many splits, or with a file for every core, is
+    never shuffled here.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    if rows.rdd.getNumPartitions() > 2 * cores or len(rows.inputFiles()) >= cores:
+        return rows
+    return rows.repartition(cores)
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -292,7 +292,8 @@ def _replies_of_documents(spark, folder):
 )
 def doc_reply(spark, folder):
     prepared = _prepared(spark, folder).select("doc_id", "error")
-    joined = replies.with_reply(prepared, _replies_of_documents(spark, folder))
+    answers = _replies_of_documents(spark, folder)
+    joined = replies.with_reply(prepared, answers, with_data=False)
     return joined.select("doc_id", "status", "error", "field_count", "tokens_used")
 
 

@@ -100,41 +100,47 @@ def verdicts(replies: DataFrame) -> DataFrame:
     )
 
 
-def one_per_document(replies: DataFrame) -> DataFrame:
+def one_per_document(replies: DataFrame, with_data: bool = True) -> DataFrame:
     """``verdicts`` reduced to one per document; an accepted reply goes first.
 
+    Without the extracted invoice, the replies are gated but not parsed.
     Further ties are broken by the text and the tokens of the reply.  The
     reduction has a map-side part, so a document with very many replies reaches
     a join as one row.
     """
     judged = verdicts(replies)
-    names = [name for name in judged.columns if name not in ("doc_id", "text_hash")]
+    left_out = {"doc_id", "text_hash"} | (set() if with_data else {"extracted_data"})
+    names = [name for name in judged.columns if name not in left_out]
     rank = F.struct("accepted", "text_hash", "tokens")
     best = judged.groupBy("doc_id").agg(F.max_by(F.struct(*names), rank).alias("best"))
     return best.select("doc_id", "best.*")
 
 
-def with_reply(documents: DataFrame, replies: DataFrame) -> DataFrame:
+def with_reply(documents: DataFrame, replies: DataFrame, with_data: bool = True) -> DataFrame:
     """Each document with its reply verdict; no reply means failed.
 
     The reply is reduced to verdict and invoice before the join, so no reply
     text is shuffled.  An earlier error of the document stays.
     """
-    judged = one_per_document(replies).drop("status").withColumnRenamed("error", "reply_error")
+    judged = (
+        one_per_document(replies, with_data)
+        .drop("status")
+        .withColumnRenamed("error", "reply_error")
+    )
     joined = documents.join(judged, "doc_id", "left")
     failure = F.when(
         F.coalesce("accepted", F.lit(False)), F.lit(None).cast("string")
     ).otherwise(F.coalesce("reply_error", F.lit(fv.REPLY_STEP_ERROR + fv.BAD_REPLY)))
     fine = F.col("error").isNull()
+    columns = {
+        "status": F.when(fine, F.lit(fv.COMPLETED)).otherwise(F.lit(fv.FAILED)),
+        "tokens_used": F.when(fine, F.col("tokens")).otherwise(F.lit(0)),
+        "field_count": F.when(fine, F.col("field_count")).otherwise(F.lit(0)),
+    }
+    if with_data:
+        columns["extracted_data"] = F.when(fine, F.col("extracted_data"))
     return (
         joined.withColumn("error", F.coalesce("error", failure))
-        .withColumns(
-            {
-                "status": F.when(fine, F.lit(fv.COMPLETED)).otherwise(F.lit(fv.FAILED)),
-                "tokens_used": F.when(fine, F.col("tokens")).otherwise(F.lit(0)),
-                "field_count": F.when(fine, F.col("field_count")).otherwise(F.lit(0)),
-                "extracted_data": F.when(fine, F.col("extracted_data")),
-            }
-        )
+        .withColumns(columns)
         .drop("accepted", "reply_error", "tokens")
     )

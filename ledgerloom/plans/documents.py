@@ -82,7 +82,7 @@ def trace(
     kept = third.select(
         "doc_id", "status", "processing_stage", "messages", "warnings", "errors"
     )
-    judged = replies.one_per_document(model_replies).select(
+    judged = replies.one_per_document(model_replies, with_data=False).select(
         "doc_id", "accepted", "field_count", F.col("error").alias("reply_error")
     )
     joined = state.enter_stage(kept, at, fv.STAGES[3]).join(judged, "doc_id", "left")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, simhash
+from ledgerloom.llm import decontamination, mixing, secrets, simhash, toxicity
 from ledgerloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,13 +19,41 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(rows, mixing.quotas(mixing.source_sizes(rows)))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, with the part of the item's words found."""
+    found = decontamination.matches(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id",
+        "item_id",
+        "item_words",
+        F.col("covered").cast("long").alias("covered"),
+        "coverage",
+        F.size("tiles").cast("long").alias("n_tiles"),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of each document."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of each document, learned from the labels that are not held out."""
+    return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document."""
+    return secrets.report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
+    "op2_decontamination": op2_decontamination,
     "op7_simhash": op7_simhash,
+    "op9_toxicity": op9_toxicity,
+    "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {}

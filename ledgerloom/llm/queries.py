@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontamination, mixing, secrets, simhash, toxicity
+from ledgerloom.llm import decontamination, lines, mixing, pii, secrets, simhash, toxicity, urls
 from ledgerloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,11 +34,26 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of each document."""
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality figures of each document and whether it stays."""
+    return lines.verdicts(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of each document."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of each page."""
+    return urls.judged(read(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of each document, learned from the labels that are not held out."""
     return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -52,7 +67,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
+    "op4_pii": op4_pii,
+    "op6_lines": op6_lines,
     "op7_simhash": op7_simhash,
+    "op8_urls": op8_urls,
     "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
 }

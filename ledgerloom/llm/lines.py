@@ -20,9 +20,8 @@ LEAST_WORDS, MOST_REPEATED, WINDOW = 50, 50, 3
 
 
 def normalised(line: Column) -> Column:
-    """A line in lower case, digits alike, white space single and none at its ends."""
-    plain = F.regexp_replace(F.lower(line), "[0-9]+", "0")
-    return F.trim(F.regexp_replace(plain, r"[\x20\x09-\x0D]+", " "))
+    """A line in lower case, white space single and none at its ends."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
 
 
 def line_hash(line: Column) -> Column:

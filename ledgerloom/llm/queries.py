@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontamination, lines, mixing, pii, secrets, simhash, toxicity, urls
+from ledgerloom.llm import (
+    decontamination,
+    fixity,
+    lines,
+    mixing,
+    pii,
+    secrets,
+    simhash,
+    tokens,
+    toxicity,
+    urls,
+)
 from ledgerloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,11 +45,24 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of a decayed replica of the pages as a WARC archive."""
+    archive = fixity.archive(read(spark, sf_dir, "pages"))
+    faults = fixity.audit(archive, fixity.decayed(archive))
+    named = archive.select(F.col("place").alias("at"), "page_id")
+    return faults.join(named, F.col("place") == F.col("at"), "left").drop("at", "place")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of each document."""
     return pii.report(read(spark, sf_dir, "documents"))
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document before and after edits that follow from its row."""
+    return tokens.counted(read(spark, sf_dir, "documents"))
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality figures of each document and whether it stays."""
     return lines.verdicts(read(spark, sf_dir, "documents"))
@@ -67,7 +91,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
+    "op3_fixity": op3_fixity,
     "op4_pii": op4_pii,
+    "op5_tokens": op5_tokens,
     "op6_lines": op6_lines,
     "op7_simhash": op7_simhash,
     "op8_urls": op8_urls,

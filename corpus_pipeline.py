@@ -1,18 +1,38 @@
-"""A training-data pipeline over the documents table, stage by stage."""
+"""A training-data pipeline over the documents table, stage by stage.
+
+Toxic documents go, one document of each near-duplicate class stays, documents that
+hold benchmark items go, secrets are replaced by a mark, and what is left is mixed to
+target weights into training blocks.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import mixing, simhash
+from ledgerloom.llm import decontamination, mixing, secrets, simhash, toxicity
 from ledgerloom.llm.common import read, saved
 
 
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that the toxicity score does not reject."""
+    return toxicity.keep_clean(docs, read(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each SimHash class."""
     return simhash.keep_one(docs)
 
 
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that hold no benchmark item."""
+    return decontamination.keep_clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def secret_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep all documents, their secrets replaced by a mark."""
+    return secrets.redact(docs, length="n_chars")
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training blocks of the mix: one row per piece of a document in a slot."""
     rows = mixing.packed(docs)
@@ -21,11 +41,15 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("simhash", near_duplicates),
+    ("toxicity", toxic_documents),
+    ("simhash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark_passages),
+    ("secret scans", secret_strings),
     ("mixing", mixture),
 ]
 
-#: The stages hash, score by trained models and draw by seed, which DuckDB cannot restate.
+#: The stages score by trained models, hash shingles by XXH64 and draw by seed, which
+#: DuckDB cannot restate; tests/llm compares them with brute force.
 ORACLE_SQL = None
 
 
@@ -33,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each over the written rows of the one before."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

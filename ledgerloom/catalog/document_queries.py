@@ -68,7 +68,8 @@ CHOICE_CTE = inp.METHOD_CTE + [
     (
         "ranked",
         "select doc_id, min(priority) as best from fx_methods "
-        r"where length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) > 10 group by doc_id",
+        r"where length(regexp_replace(split_part(text, chr(10), 1), '[^\p{L}\p{N}]', '', 'g')) > 10 "
+        "group by doc_id",
     ),
     (
         "choices",
@@ -96,6 +97,17 @@ def chosen_text(spark, folder):
     return pages.chosen_text(pages.choose_method(attempts), attempts)
 
 
+@query(
+    "chosen_text_in_row",
+    inp.cte(*CHOICE_CTE)
+    + "select c.doc_id, m.method, m.text from choices c "
+    "left join fx_methods m on m.doc_id = c.doc_id and m.method = c.extraction_method",
+)
+def chosen_text_in_row(spark, folder):
+    found = pages.first_text(*inp.attempt_texts())
+    return inp.documents(spark, folder).select("doc_id", found.alias("x")).select("doc_id", "x.*")
+
+
 @query(
     "text_clean",
     "select doc_id, cleaned_text, length(text) - length(cleaned_text) as characters_removed, "
@@ -172,6 +184,17 @@ def request_rows(spark, folder):
     return texts.requests(_prepared(spark, folder))
 
 
+@query(
+    "text_chunks",
+    "select doc_id, i as chunk_no, array_to_string(words[(i - 1) * 90 + 1:(i - 1) * 90 + 100], ' ') "
+    "as chunk from (select doc_id, words, unnest(range(1, greatest(ceil((len(words) - 10) / 90.0), 1)"
+    "::bigint + 1)) as i from (select doc_id, list_filter(regexp_split_to_array(text, "
+    r"'[ \n]+'), lambda w: w <> '') as words from documents) as t where len(words) > 0) as u",
+)
+def text_chunks(spark, folder):
+    return texts.chunks(inp.documents(spark, folder), "text", size=100, overlap=10)
+
+
 @query(
     "previews",
     inp.cte(*inp.REPLY_CTE)
@@ -264,7 +287,7 @@ REPLIED_CTE = (
         (
             "verdicts",
             "select 2 * doc_id as doc_id, doc_id % 8 in (0, 1, 2, 7) as accepted, "
-            "total_tokens from fx_replies",
+            "total_tokens from fx_picked",
         ),
         (
             "answered",
@@ -383,12 +406,7 @@ def integrity_verdict(spark, folder):
 
 def _ingested(spark, folder):
     """Opened files with the method of the first attempt that found text."""
-    text, key = F.col("text"), F.col("doc_id")
-    method = pages.first_method(
-        F.when(key % 2 == 0, text).otherwise("-- "),
-        F.when(key % 3 == 0, text),
-        F.when(key % 5 == 0, text).otherwise("0123456789"),
-    )
+    method = pages.first_method(*inp.attempt_texts())
     return intake.ingestion_verdict(
         inp.opened(spark, folder).withColumn("extraction_method", method)
     )
@@ -471,7 +489,7 @@ def _line(text: str) -> str:
             f"length(p.raw_text) - length({CLEAN_SQL.format('p.raw_text')}) as removed, "
             "coalesce(r.doc_id % 8 in (0, 1, 2, 7), false) as accepted "
             "from ingested i join per_document p on p.doc_id = i.doc_id "
-            "left join fx_replies r on 2 * r.doc_id = i.doc_id",
+            "left join fx_picked r on 2 * r.doc_id = i.doc_id",
         ),
     )
     + "select doc_id, case when e1 is null and e2 is null and accepted then 'COMPLETED' "

@@ -14,6 +14,7 @@ from ledgerloom.catalog import inputs as inp
 from ledgerloom.catalog.registry import literal, query
 from ledgerloom import fixed_values as fv
 from ledgerloom.operators import intake
+from ledgerloom.plans import flow
 from ledgerloom.plans.intake import folder_verdicts
 from ledgerloom.schemas import Settings
 from ledgerloom.sources import files
@@ -75,6 +76,95 @@ def pdf_scan(spark, folder):
     return verdicts.select("filename", "size_bytes", "accepted", "code", "reason")
 
 
+def _pages(share: int):
+    """A reader of the landed files that fails on some of them."""
+
+    def read(content: bytes) -> list[str]:
+        if len(content) % share == 1:
+            raise ValueError(f"{len(content)} bytes")
+        return content.decode("utf-8").split("\n")[1:]
+
+    return read
+
+
+READERS = {name: _pages(share) for name, share in zip(fv.EXTRACTION_METHODS, (2, 3, 5))}
+METHOD_SQL = "case " + " ".join(
+    f"when size_bytes % {share} <> 1 then '{name}'"
+    for name, share in zip(fv.EXTRACTION_METHODS, (2, 3, 5))
+) + " end"
+RESULT_CTE = (
+    inp.ASSEMBLED_CTE
+    + inp.REPLY_CTE
+    + LANDED_CTE
+    + [
+        (
+            "named",
+            "select l.doc_id, l.filename, octet_length(encode(l.body)) as size_bytes, "
+            "starts_with(l.body, '%PDF') as has_pdf_magic, d.text from landed l "
+            "join documents d on d.doc_id = l.doc_id",
+        ),
+        (
+            "tried",
+            f"select *, {REASON_SQL} as reason, {METHOD_SQL} as method, "
+            r"length(regexp_replace(split_part(text, chr(10), 1), '[^\p{L}\p{N}]', '', 'g')) > 10 "
+            "as has_text from named",
+        ),
+        (
+            "stepped",
+            "select t.doc_id, case when reason is not null then reason when method is null then "
+            f"{literal(fv.OTHER_OPEN_ERROR)} || 'ValueError: ' || size_bytes || ' bytes' "
+            f"when not has_text then {literal(fv.NO_TEXT_FOUND)} end as e1, "
+            f"case when p.raw_text = '' then {literal(fv.NO_ASSEMBLED_TEXT)} end as e2, "
+            f"case when not coalesce(k.doc_id % 8 in (0, 1, 2, 7), false) then "
+            f"{literal(fv.REPLY_STEP_ERROR + fv.BAD_REPLY)} end as e3, method, k.total_tokens "
+            "from tried t join per_document p on p.doc_id = t.doc_id "
+            "left join fx_picked k on 2 * k.doc_id = t.doc_id",
+        ),
+    ]
+)
+
+
+@query(
+    "pipeline_result",
+    inp.cte(*RESULT_CTE)
+    + "select doc_id, case when e1 is not null then 'Ingesta' when e2 is not null then "
+    "'Extracción' else 'llm_processing' end as processing_stage, "
+    "case when coalesce(e1, e2, e3) is null then 'COMPLETED' else 'FAILED' end as status, "
+    "coalesce(e1, e2, e3) as error, case when e1 is null then method end as extraction_method, "
+    "case when coalesce(e1, e2, e3) is null then 11 else 0 end::bigint as field_count, "
+    "case when coalesce(e1, e2, e3) is null then total_tokens else 0 end as tokens_used "
+    "from stepped",
+)
+def pipeline_result(spark, folder):
+    """Files of the landing folder to results; names are keys of documents."""
+    place = landing(spark, folder)
+    names = inp.sql(spark, LANDED_SQL, documents=inp.documents(spark, folder)).select(
+        "doc_id", "filename"
+    )
+    scanned = files.scan_files(spark, place, only_pdf=False)
+    fits = F.col("size_bytes") <= LIMIT.max_size_bytes
+    read = scanned.select(
+        F.col("filename").alias("name"),
+        F.col("path").alias("file_path"),
+        "size_bytes",
+        F.when(fits, F.col("content")).alias("content"),
+        F.when(fits, files.starts_with_magic()).alias("has_pdf_magic"),
+    )
+    found = names.join(read, F.col("filename") == F.col("name"), "left").drop("name")
+    # The scan leaves out files of no bytes.
+    known = found.withColumn("size_bytes", F.coalesce("size_bytes", F.lit(0).cast("bigint")))
+    answers = inp.replies(spark, folder).withColumn("doc_id", F.col("doc_id") * 2)
+    return flow.results(known, READERS, answers, LIMIT).select(
+        "doc_id",
+        "processing_stage",
+        "status",
+        "error",
+        "extraction_method",
+        "field_count",
+        "tokens_used",
+    )
+
+
 @query(
     "file_inventory",
     inp.cte(*LANDED_CTE)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerloom import fixed_values as fv
 from ledgerloom.catalog import inputs as inp
 from ledgerloom.catalog.registry import query, stamp
 from ledgerloom.functions.rows import present
@@ -127,21 +128,26 @@ def jobs_deleted(spark, folder):
     "job_results",
     inp.cte(*RECORD_CTE, *inp.INVOICE_CTE)
     + "select v.id as job_id, 'COMPLETED' as status, 11::bigint as field_count, "
-    "cast(200 + v.id % 1300 as bigint) as tokens_used, v.razon_social_cliente, v.moneda, "
+    "cast(200 + v.id % 1300 + case when v.id % 9 = 4 then 1000 else 0 end as bigint) "
+    "as tokens_used, v.razon_social_cliente, v.moneda, "
     "v.total, len(v.items) as n_items, j.filename, "
     "round_even(j.size_bytes / 1048576.0::double, 2)::double as file_size_mb, "
     f"{stamp('j.created_at')} as created_at, {stamp('j.completed_at')} as completed_at "
     "from invoices v join jobs j on j.job_id = v.id where j.status = 'COMPLETED'",
 )
 def job_results(spark, folder):
-    extracted = replies.verdicts(inp.replies(spark, folder)).select(
+    recorded = _jobs(spark, folder)
+    # Only replies of completed jobs are gated and parsed.
+    done = recorded.where(F.col("status") == fv.COMPLETED).select(F.col("job_id").alias("doc_id"))
+    wanted = inp.replies(spark, folder).join(done, "doc_id", "left_semi")
+    extracted = replies.one_per_document(wanted).select(
         F.col("doc_id").alias("job_id"),
         "status",
         "field_count",
         F.col("tokens").alias("tokens_used"),
         present(F.col("extracted_data")).alias("data"),
     )
-    return jobs.results(_jobs(spark, folder), extracted).select(
+    return jobs.results(recorded, extracted).select(
         "job_id",
         "status",
         "field_count",

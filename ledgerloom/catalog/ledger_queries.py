@@ -69,6 +69,61 @@ def invoice_detail(spark, folder):
     return ledger.detail(headers, lines)
 
 
+@query(
+    "invoice_nested",
+    inp.cte(*inp.FLAT_CTE)
+    + "select f.id, f.total, f.moneda, coalesce(string_agg(i.pos || ':' || i.cantidad || ':' || "
+    "i.subtotal || ':' || coalesce(i.descripcion, '-'), '|' order by i.pos, "
+    "i.descripcion nulls first, i.cantidad, i.precio_unitario, i.subtotal), '') as items "
+    "from fx_facturas f left join fx_items i on i.factura_id = f.id and i.pos % 5 <> f.id % 5 "
+    "group by f.id, f.total, f.moneda",
+)
+def invoice_nested(spark, folder):
+    """Headers with their items as an ordered list, shown as text."""
+    headers = inp.plain_facturas(spark, folder).select("id", "total", "moneda")
+    lines = inp.items(spark, folder).where("pos % 5 <> factura_id % 5")
+    found = ledger.nested(headers, lines.drop("l_partkey", "l_suppkey"), "pos")
+
+    def shown(x):
+        return F.concat_ws(
+            ":", x["pos"], x["cantidad"], x["subtotal"], F.coalesce(x["descripcion"], F.lit("-"))
+        )
+
+    return found.withColumn("items", F.array_join(F.transform("items", shown), "|"))
+
+
+@query(
+    "ledger_stats_by_currency",
+    inp.cte(*inp.FLAT_CTE)
+    + "select moneda, count(*) as total_facturas, cast(sum(total) as decimal(28,2)) as monto_total,"
+    " round(cast(sum(total) as double) / count(total), 2) as promedio_factura, "
+    "count(distinct codigo_cliente) as total_clientes from fx_facturas group by moneda",
+)
+def ledger_stats_by_currency(spark, folder):
+    return ledger.by_currency(inp.plain_facturas(spark, folder)).withColumn(
+        "promedio_factura", F.round(F.col("promedio_factura").cast("double"), 2)
+    )
+
+
+REPEATED_SQL = """
+select codigo_cliente, moneda, cast(floor(total / 50000) * 50000 as decimal(18,2)) as total, id
+from {headers}
+"""
+
+
+@query(
+    "repeated_invoices",
+    inp.cte(*inp.FLAT_CTE, ("rough", REPEATED_SQL.format(headers="fx_facturas")))
+    + "select codigo_cliente, moneda, total, count(*) as times, min(id) as first_id, "
+    "max(id) as last_id from rough where codigo_cliente is not null and total is not null "
+    "group by codigo_cliente, moneda, total having count(*) > 1",
+)
+def repeated_invoices(spark, folder):
+    """Totals are rounded down, as the test ledger repeats none to the cent."""
+    rough = inp.sql(spark, REPEATED_SQL, headers=inp.plain_facturas(spark, folder))
+    return ledger.repeated(rough)
+
+
 @query(
     "lookup_found",
     inp.cte(*inp.FLAT_CTE)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom import fixed_values as fv
 from ledgerloom.catalog import inputs as inp
 from ledgerloom.catalog.registry import literal, query, stamp
+from ledgerloom.functions import numbers as nm
 from ledgerloom.functions import text as tx
 from ledgerloom.operators import checks, forms, ledger, money, replies, report
 from ledgerloom.plans import invoices as plan
@@ -64,7 +65,7 @@ INVOICE_COLUMNS = (
     inp.cte(*inp.INVOICE_CTE)
     + f"select w.id as doc_id, v.id is not null as accepted, {INVOICE_COLUMNS}"
     "subtotal, igv, total, detraccion_porcentaje, detraccion_monto, n_items from "
-    "(select id from written) w left join "
+    "(select id from written union all select id from written where id % 9 = 4) w left join "
     "(select id, codigo_cliente, razon_social_cliente, direccion_cliente, distrito, "
     "forma_pago, moneda, subtotal, igv, total, porcentaje as detraccion_porcentaje, "
     "monto as detraccion_monto, len(items) as n_items from invoices) v on v.id = w.id",
@@ -100,9 +101,9 @@ def field_count(spark, folder):
 @query(
     "token_cost",
     inp.cte(*inp.REPLY_CTE)
-    + "select doc_id, sum(total_tokens)::bigint as tokens_used, "
-    "round(sum(total_tokens)::bigint / 1000.0::double * 0.00015::double, 9) as cost_estimate "
-    f"from fx_replies where {ACCEPTED} group by doc_id",
+    + "select doc_id, total_tokens as tokens_used, "
+    "round(total_tokens / 1000.0::double * 0.00015::double, 9) as cost_estimate "
+    f"from fx_picked where {ACCEPTED}",
 )
 def token_cost(spark, folder):
     return replies.token_cost(inp.replies(spark, folder)).withColumn(
@@ -174,13 +175,7 @@ def _with_filename(spark, folder):
 
 @query(
     "raw_payload",
-    inp.cte(*inp.INVOICE_CTE)
-    + "select id, to_json({'codigo_cliente': codigo_cliente, "
-    "'razon_social_cliente': razon_social_cliente, 'direccion_cliente': direccion_cliente, "
-    "'distrito': distrito, 'items': items, 'forma_pago': forma_pago, 'moneda': moneda, "
-    "'subtotal': subtotal, 'igv': igv, 'total': total, 'detraccion': case when porcentaje is "
-    "null then null else {'porcentaje': porcentaje::decimal(18,2), 'monto': monto} end})::varchar "
-    "as datos_raw from invoices",
+    inp.cte(*inp.REPLY_CTE) + "select id, js as datos_raw from texts where id % 8 in (0, 1, 2, 7)",
 )
 def raw_payload(spark, folder):
     return ledger.raw_payload(_invoices(spark, folder)).select("id", "datos_raw")
@@ -495,7 +490,9 @@ def form_fill(spark, folder):
     "export_name",
     inp.cte(*inp.WRITTEN_CTE)
     + "select id, 'factura_' || strftime(fecha_registro + to_seconds(id % 86400), "
-    "'%Y%m%d_%H%M%S') || '.xlsx' as export_name from written",
+    "'%Y%m%d_%H%M%S') || '.xlsx' as export_name from "
+    "(select id, fecha_registro from written union all "
+    "select id, fecha_registro from written where id % 9 = 4) as t",
 )
 def export_name(spark, folder):
     at = F.expr("fecha_registro + make_dt_interval(0, 0, 0, doc_id % 86400)")
@@ -525,3 +522,54 @@ def invoice_overview(spark, folder):
     return overview.withColumn(
         "promedio_factura", F.round(F.col("promedio_factura").cast("double"), 2)
     )
+
+
+# -------------------------------------------------------------- quality and cost
+@query(
+    "completeness",
+    inp.cte(*inp.INVOICE_CTE)
+    + "select id, round(filled / 11.0::double, 4) as completeness_score, filled / 11.0 >= 0.8 "
+    "as complete from (select id, ("
+    + " + ".join(
+        f"(coalesce({name}::varchar, '') <> '')::int"
+        for name in (
+            "codigo_cliente", "razon_social_cliente", "direccion_cliente", "distrito",
+            "forma_pago", "moneda", "subtotal", "igv", "total", "porcentaje",
+        )
+    )
+    + " + (len(items) > 0)::int) as filled from invoices) as t",
+)
+def completeness(spark, folder):
+    """Share of filled contract fields and whether it reaches the threshold."""
+    return checks.completeness(_invoices(spark, folder)).select(
+        "id", F.round("completeness_score", 4).alias("completeness_score"), "complete"
+    )
+
+
+@query(
+    "model_cost",
+    inp.cte(*inp.REPLY_CTE)
+    + "select doc_id, model, input_tokens, output_tokens, case model "
+    + " ".join(
+        f"when '{model}' then round((input_tokens * {read}::double + output_tokens * "
+        f"{written}::double) / 1000.0::double, 9)"
+        for model, (read, written) in fv.MODEL_PRICES.items()
+    )
+    + " end as cost from (select doc_id, content, "
+    "case doc_id % 4 when 0 then 'gpt-4o' when 1 then 'gpt-3.5-turbo' when 2 then 'other' "
+    "else 'gpt-4o-mini' end as model, total_tokens - total_tokens // 4 as input_tokens, "
+    "total_tokens // 4 as output_tokens from fx_replies) as t",
+)
+def model_cost(spark, folder):
+    """Cost of each reply by the prices of its model; null for a model without a price."""
+    split = inp.replies(spark, folder).select(
+        "doc_id",
+        F.expr(
+            "case doc_id % 4 when 0 then 'gpt-4o' when 1 then 'gpt-3.5-turbo' "
+            "when 2 then 'other' else 'gpt-4o-mini' end"
+        ).alias("model"),
+        F.expr("total_tokens - total_tokens div 4").alias("input_tokens"),
+        F.expr("total_tokens div 4").alias("output_tokens"),
+    )
+    cost = nm.model_cost(F.col("model"), F.col("input_tokens"), F.col("output_tokens"))
+    return split.withColumn("cost", F.round(cost, 9))

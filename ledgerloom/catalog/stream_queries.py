@@ -14,12 +14,13 @@ from ledgerloom.sources.tables import table_stream
 from ledgerloom.streaming import intake, jobs, ledger
 
 
-@query("stream_intake", VERDICT_SQL + " where size_bytes > 0")
+@query("stream_intake", VERDICT_SQL)
 def stream_intake(spark, folder):
     base = session.fresh_path(spark, "stream-intake")
     out = f"{base}/verdicts"
     intake.start(spark, landing(spark, folder), out, f"{base}/checkpoint", LIMIT).awaitTermination()
-    return spark.read.parquet(out)
+    intake.judge_empty(spark, landing(spark, folder), out, LIMIT)
+    return intake.verdicts(spark, out)
 
 
 @query("stream_job_state", LATEST_SQL)

@@ -202,3 +202,16 @@ TEXTO DE LA FACTURA:
 
 Responde únicamente con el JSON:
 """
+
+# US dollars for 1,000 tokens of input and of output, by model.
+MODEL_PRICES = {
+    "gpt-4o": (0.0025, 0.01),
+    "gpt-4o-mini": (0.00015, 0.0006),
+    "gpt-3.5-turbo": (0.001, 0.002),
+}
+
+# Part of the contract fields that makes an invoice complete.
+COMPLETENESS = 0.8
+
+# Tokens of a chunk, and tokens that a chunk shares with the one before.
+CHUNK_TOKENS, CHUNK_OVERLAP = 2500, 250

@@ -85,6 +85,15 @@ def token_cost(tokens: Column) -> Column:
     return tokens / F.lit(1000.0) * F.lit(fv.USD_PER_1000_TOKENS)
 
 
+def model_cost(model: Column, read: Column, written: Column) -> Column:
+    """Cost of a call by the prices of its model; null where the model has no price."""
+    cost = F
+    for name, (price, output_price) in fv.MODEL_PRICES.items():
+        sum_ = read * F.lit(price) + written * F.lit(output_price)
+        cost = cost.when(model == name, sum_ / F.lit(1000.0))
+    return cost
+
+
 def money_text(value: Column) -> Column:
     """``1,234.50``."""
     return F.format_number(value, 2)

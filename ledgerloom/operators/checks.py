@@ -175,3 +175,19 @@ def summary(invoices: DataFrame, strict_currency: bool = True) -> DataFrame:
         "failing",
         F.round(F.try_divide(F.col("failing"), F.col("invoices")), 6).alias("share"),
     )
+
+
+def completeness(invoices: DataFrame, least: float = fv.COMPLETENESS) -> DataFrame:
+    """Add ``completeness_score``, the share of filled contract fields, and ``complete``.
+
+    A field is filled when it is not null, not an empty text and not an empty list; a
+    deduction when it has a percentage.
+    """
+    texts = ("codigo_cliente", "razon_social_cliente", "direccion_cliente", "distrito")
+    filled = [F.coalesce(F.col(n) != "", F.lit(False)) for n in (*texts, "forma_pago", "moneda")]
+    filled += [F.col(n).isNotNull() for n in ("subtotal", "igv", "total", "detraccion.porcentaje")]
+    filled.append(F.coalesce(F.size("items") > 0, F.lit(False)))
+    share = sum((f.cast("int") for f in filled), F.lit(0)) / F.lit(float(len(filled)))
+    return invoices.withColumn("completeness_score", share).withColumn(
+        "complete", F.col("completeness_score") >= least
+    )

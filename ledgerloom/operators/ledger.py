@@ -26,7 +26,12 @@ def with_description(items: Column) -> Column:
 
 
 def raw_payload(invoices: DataFrame) -> DataFrame:
-    """Add ``datos_raw``: the whole invoice as JSON text, for audits."""
+    """Add ``datos_raw``, for audits: the text as received, or else the invoice as JSON.
+
+    Invoices that come from replies bring their ``body``, with every key it had.
+    """
+    if "body" in invoices.columns:
+        return invoices.withColumn("datos_raw", F.col("body"))
     whole = F.struct(*[F.col(name) for name in INVOICE_FIELDS])
     return invoices.withColumn("datos_raw", rp.payload_text(whole))
 
@@ -117,6 +122,51 @@ def detail(headers: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def nested(headers: DataFrame, items: DataFrame, order: str) -> DataFrame:
+    """Header columns with ``items``, the header's lines as one list in order.
+
+    A header without items gets an empty list.  The list is one row by definition, so
+    an invoice of very many lines is one long row; everything else in the plan is
+    sized by tasks.  From the stored nested ledger no shuffle is needed: its rows
+    have their items already.
+    """
+    columns = [order, *[name for name in items.columns if name not in ("factura_id", order)]]
+    lists = items.groupBy(F.col("factura_id").alias("id")).agg(
+        F.sort_array(F.collect_list(F.struct(*columns))).alias("items")
+    )
+    joined = headers.join(lists, "id", "left")
+    none = F.array().cast(lists.schema["items"].dataType)
+    return joined.select(*headers.columns, F.coalesce("items", none).alias("items"))
+
+
+def by_currency(headers: DataFrame) -> DataFrame:
+    """The statistics of each currency; null is a group of its own."""
+    return headers.groupBy("moneda").agg(
+        F.count(F.lit(1)).alias("total_facturas"),
+        F.sum("total").alias("monto_total"),
+        F.avg("total").alias("promedio_factura"),
+        F.countDistinct("codigo_cliente").alias("total_clientes"),
+    )
+
+
+def repeated(headers: DataFrame) -> DataFrame:
+    """Invoices that look the same: one client, currency and total, several ids.
+
+    One row a group, with its least and greatest id and its size; invoices without a
+    client or total are not compared.
+    """
+    return (
+        headers.where(F.col("codigo_cliente").isNotNull() & F.col("total").isNotNull())
+        .groupBy("codigo_cliente", "moneda", "total")
+        .agg(
+            F.count(F.lit(1)).alias("times"),
+            F.min("id").alias("first_id"),
+            F.max("id").alias("last_id"),
+        )
+        .where("times > 1")
+    )
+
+
 def page(headers: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     """Newest headers first: skip ``offset``, keep ``limit``; ties by id.
 

@@ -97,9 +97,10 @@ def assemble_rows(pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
-def has_text(text: Column, settings: Settings = DEFAULTS) -> Column:
-    """More letters and digits than the minimum; null counts as none."""
-    return F.coalesce(tx.alphanumerics(text) > settings.min_alphanumerics, F.lit(False))
+def has_text(text: Column, settings: Settings = DEFAULTS, separator: str = "\n") -> Column:
+    """More letters and digits on the first page than the minimum; null counts as none."""
+    first = F.substring_index(text, separator, 1)
+    return F.coalesce(tx.alphanumerics(first) > settings.min_alphanumerics, F.lit(False))
 
 
 def text_gate(documents: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -147,22 +148,52 @@ def page_map(pages: Column, settings: Settings = DEFAULTS) -> Column:
     return F.map_from_entries(_kept(pages, settings))
 
 
-def chosen_text(choices: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Each document with the text of its method; no choice means the default method."""
+def chosen_text(
+    choices: DataFrame, attempts: DataFrame, settings: Settings = DEFAULTS
+) -> DataFrame:
+    """Each document with the text of its method; no choice means the default method.
+
+    Attempts that fail the gate cannot have been chosen; they are left out before the
+    join, but for those of the default method.
+    """
     wanted = choices.select(
         "doc_id",
         F.coalesce("extraction_method", F.lit(fv.DEFAULT_METHOD)).alias("method"),
     )
-    texts = attempts.select("doc_id", "method", "text")
+    able = has_text(F.col("text"), settings) | (F.col("method") == fv.DEFAULT_METHOD)
+    texts = attempts.where(able).select("doc_id", "method", "text")
     return wanted.join(texts, ["doc_id", "method"], "inner")
 
 
+def first_text(*texts: Column, settings: Settings = DEFAULTS) -> Column:
+    """Method and text of the first attempt in a row that passes the gate, or null."""
+    chosen = F
+    for method, text in zip(fv.EXTRACTION_METHODS, texts):
+        pair = F.struct(F.lit(method).alias("method"), text.alias("text"))
+        chosen = chosen.when(has_text(text, settings), pair)
+    return chosen.otherwise(F.lit(None))
+
+
 def extraction_verdict(documents: DataFrame) -> DataFrame:
-    """Add ``status, error``: a document without assembled text has failed."""
+    """Add ``status, error, processing_stage``: without assembled text a document has failed.
+
+    A document that comes in with an error, or as failed, keeps its error, status and
+    stage; where it brings no stage it failed in the first one.
+    """
+    have = documents.columns
+    none = F.lit(None).cast("string")
+    error = F.col("error") if "error" in have else none
+    failed = error.isNotNull()
+    if "status" in have:
+        failed = failed | F.coalesce(F.col("status") == fv.FAILED, F.lit(False))
+    stage = F.col("processing_stage") if "processing_stage" in have else none
     blank = tx.is_blank(tx.strip(F.col("raw_text")))
     return documents.withColumns(
         {
-            "status": F.when(blank, F.lit(fv.FAILED)).otherwise(F.lit(fv.PROCESSING)),
-            "error": F.when(blank, F.lit(fv.NO_ASSEMBLED_TEXT)),
+            "status": F.when(failed | blank, F.lit(fv.FAILED)).otherwise(F.lit(fv.PROCESSING)),
+            "error": F.when(failed, error).when(blank, F.lit(fv.NO_ASSEMBLED_TEXT)),
+            "processing_stage": F.when(
+                failed, F.coalesce(stage, F.lit(fv.STAGES[0]))
+            ).otherwise(F.lit(fv.STAGES[1])),
         }
     )

@@ -45,19 +45,49 @@ def parse(replies: DataFrame) -> DataFrame:
     return gated.withColumn("raw", raw).withColumns(rp.to_stored(F.col("raw")))
 
 
+def picked(replies: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The one reply of each document that counts, for every use of replies.
+
+    An accepted reply goes first; among these, and among rejected ones, the least
+    text and then the least number of tokens.  Columns ``doc_id, accepted, body,
+    total_tokens``.  The reduction has a map-side part, so a document with very many
+    replies reaches the shuffle as one row per task.  Tokens of replies that do not
+    count are counted nowhere.
+    """
+    judged = unfence(replies).select(
+        F.col(key).alias("doc_id"),
+        "content",
+        "total_tokens",
+        "body",
+        rp.is_json_object(F.col("body")).alias("accepted"),
+    )
+    rank = F.struct((~F.col("accepted")).alias("rejected"), "content", "total_tokens", "body")
+    return (
+        judged.groupBy("doc_id")
+        .agg(F.min(rank).alias("best"))
+        .select(
+            "doc_id",
+            (~F.col("best.rejected")).alias("accepted"),
+            "best.body",
+            "best.total_tokens",
+        )
+    )
+
+
 def accepted_invoices(replies: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Only the accepted replies, as typed invoices keyed by ``id``.
+    """The accepted reply of each document, as a typed invoice keyed by ``id``.
 
-    Gate and parse run once per reply, the parse only on what passed.
+    Gate and parse run once per reply, the parse only on what counts.  ``body`` is the
+    reply as it was received, for audits.
     """
-    body = F.col("body")
-    parsed = unfence(replies).select(
-        F.col(key).alias("id"),
+    parsed = picked(replies, key).select(
+        F.col("doc_id").alias("id"),
         "total_tokens",
-        present(F.when(rp.is_json_object(body), rp.parse_raw(body))).alias("raw"),
+        "body",
+        present(F.when(F.col("accepted"), rp.parse_raw(F.col("body")))).alias("raw"),
     )
     return parsed.withColumns(rp.to_stored(F.col("raw"))).select(
-        "id", *INVOICE_FIELDS, "raw", "total_tokens"
+        "id", *INVOICE_FIELDS, "raw", "total_tokens", "body"
     )
 
 
@@ -69,51 +99,39 @@ def field_count(replies: DataFrame) -> DataFrame:
 
 
 def token_cost(replies: DataFrame) -> DataFrame:
-    """Tokens and cost per document over all its accepted replies.
+    """Tokens and cost of the accepted reply of each document.
 
-    Only an accepted reply adds to the metrics.
+    Only the reply that counts adds to the metrics; see ``picked``.
     """
     per_document = (
-        replies.where(tx.bind(tx.unfence(F.col("content")), rp.is_json_object))
-        .groupBy("doc_id")
-        .agg(F.sum(F.coalesce("total_tokens", F.lit(0))).alias("tokens_used"))
+        picked(replies)
+        .where("accepted")
+        .select("doc_id", F.coalesce("total_tokens", F.lit(0)).alias("tokens_used"))
     )
     return per_document.withColumn("cost_estimate", nm.token_cost(F.col("tokens_used")))
 
 
-def verdicts(replies: DataFrame) -> DataFrame:
-    """What each reply amounts to: verdict, counts, and the invoice.
+def one_per_document(replies: DataFrame, with_data: bool = True) -> DataFrame:
+    """Verdict, counts and invoice of the reply that counts, one row per document.
 
-    The extracted invoice is one nested column, computed only where it is used.
+    Without the extracted invoice, the reply is gated but not parsed.
     """
-    parsed = parse(replies)
     accepted = F.col("accepted")
-    return parsed.select(
+    chosen = picked(replies)
+    if with_data:
+        raw = F.when(accepted, rp.parse_raw(F.col("body")))
+        chosen = chosen.withColumn("raw", raw).withColumns(rp.to_stored(F.col("raw")))
+    columns = [
         "doc_id",
         "accepted",
-        "status",
-        "error",
+        F.when(accepted, F.lit(fv.COMPLETED)).otherwise(F.lit(fv.FAILED)).alias("status"),
+        F.when(~accepted, F.lit(fv.REPLY_STEP_ERROR + fv.BAD_REPLY)).alias("error"),
         F.when(accepted, rp.key_count(F.col("body"))).alias("field_count"),
         F.when(accepted, F.coalesce("total_tokens", F.lit(0))).alias("tokens"),
-        F.when(accepted, F.struct(*INVOICE_FIELDS)).alias("extracted_data"),
-        F.xxhash64("content").alias("text_hash"),
-    )
-
-
-def one_per_document(replies: DataFrame, with_data: bool = True) -> DataFrame:
-    """``verdicts`` reduced to one per document; an accepted reply goes first.
-
-    Without the extracted invoice, the replies are gated but not parsed.
-    Further ties are broken by the text and the tokens of the reply.  The
-    reduction has a map-side part, so a document with very many replies reaches
-    a join as one row.
-    """
-    judged = verdicts(replies)
-    left_out = {"doc_id", "text_hash"} | (set() if with_data else {"extracted_data"})
-    names = [name for name in judged.columns if name not in left_out]
-    rank = F.struct("accepted", "text_hash", "tokens")
-    best = judged.groupBy("doc_id").agg(F.max_by(F.struct(*names), rank).alias("best"))
-    return best.select("doc_id", "best.*")
+    ]
+    if with_data:
+        columns.append(F.when(accepted, F.struct(*INVOICE_FIELDS)).alias("extracted_data"))
+    return chosen.select(*columns)
 
 
 def with_reply(documents: DataFrame, replies: DataFrame, with_data: bool = True) -> DataFrame:

@@ -79,8 +79,8 @@ def merge_maps(first: Column, second: Column) -> Column:
     return F.map_concat(only_first, second)
 
 
-def result(states: DataFrame) -> DataFrame:
-    """What a finished document reports: control, extracted fields, metrics."""
+def result(states: DataFrame, *more: str) -> DataFrame:
+    """What a finished document reports: control, extracted fields, metrics, ``more``."""
     return states.select(
         "doc_id",
         "processing_stage",
@@ -91,4 +91,5 @@ def result(states: DataFrame) -> DataFrame:
         "tokens_used",
         nm.token_cost(F.col("tokens_used")).alias("cost_estimate"),
         "llm_model",
+        *more,
     )

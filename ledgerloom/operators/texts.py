@@ -100,3 +100,29 @@ def prompt_preview(user_prompt: Column) -> Column:
 def reply_preview(content: Column) -> Column:
     """Beginning of a reply as it is logged."""
     return F.substring(tx.strip(content), 1, fv.REPLY_PREVIEW_CHARS)
+
+
+def chunks(
+    documents: DataFrame,
+    source: str = "cleaned_text",
+    size: int = fv.CHUNK_TOKENS,
+    overlap: int = fv.CHUNK_OVERLAP,
+) -> DataFrame:
+    """``doc_id, chunk_no, chunk``: all words of each text in chunks that overlap.
+
+    Words stand for tokens.  A text without words has no chunk.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be less than a chunk")
+    words = F.filter(F.split(F.trim(source), r"\s+"), lambda w: w != "")
+    spent = documents.select("doc_id", words.alias("words"))
+    step = size - overlap
+    count = F.greatest(F.ceil((F.size("words") - overlap) / step), F.lit(1)).cast("int")
+    numbers = F.when(F.size("words") > 0, F.sequence(F.lit(1), count)).otherwise(
+        F.array().cast("array<int>")
+    )
+    return spent.select("doc_id", "words", F.explode(numbers).alias("chunk_no")).select(
+        "doc_id",
+        "chunk_no",
+        F.array_join(F.slice("words", (F.col("chunk_no") - 1) * step + 1, F.lit(size)), " ").alias("chunk"),
+    )

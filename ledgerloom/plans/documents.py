@@ -101,13 +101,22 @@ def trace(
     ).select("doc_id", "status", "processing_stage", "messages", "warnings", "errors")
 
 
-def finish(prepared: DataFrame, model_replies: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Join prepared documents with their replies and report each document."""
-    slim = prepared.select("doc_id", "error")
-    answered = replies.with_reply(slim, model_replies)
-    stage = F.when(
-        F.col("error") == fv.NO_ASSEMBLED_TEXT, F.lit(fv.STAGES[1])
-    ).otherwise(F.lit(fv.STAGES[3]))
-    return state.result(
-        answered.withColumns({"processing_stage": stage, "llm_model": F.lit(settings.model)})
+def finish(
+    prepared: DataFrame, model_replies: DataFrame, settings: Settings = DEFAULTS, *more: str
+) -> DataFrame:
+    """Join prepared documents with their replies and report each document.
+
+    ``more`` names columns of ``prepared`` to report as well.
+    """
+    reached = F.when(F.col("status") == fv.FAILED, F.col("processing_stage")).otherwise(
+        F.lit(fv.STAGES[3])
+    )
+    failed = F.col("status") == fv.FAILED
+    slim = prepared.select(
+        "doc_id",
+        F.when(failed, F.coalesce("error", F.lit(""))).alias("error"),
+        reached.alias("processing_stage"),
+        *more,
     )
+    answered = replies.with_reply(slim, model_replies)
+    return state.result(answered.withColumn("llm_model", F.lit(settings.model)), *more)

@@ -12,6 +12,10 @@ PAGES = "ARRAY<STRUCT<page_no: INT, text: STRING>>"
 
 EXTRACTED = f"doc_id STRING, pages {PAGES}, error STRING"
 
+FIRST_FOUND = (
+    "doc_id STRING, extraction_method STRING, pages ARRAY<STRUCT<page_no: INT, text: STRING>>, "
+    "page_count INT, open_error STRING"
+)
 REPLY = "doc_id STRING, content STRING, total_tokens BIGINT, error STRING"
 
 JOB_EVENTS = (

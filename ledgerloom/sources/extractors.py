@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
-from ledgerloom.schemas import EXTRACTED, REPLY
+from ledgerloom.schemas import DEFAULTS, EXTRACTED, FIRST_FOUND, REPLY, Settings
 
 PageReader = Callable[[bytes], list[str]]
 FieldReader = Callable[[str, str], tuple[str, int]]
@@ -59,6 +59,46 @@ def extract_pages(files: DataFrame, readers: dict[str, PageReader]) -> DataFrame
     return rows.mapInPandas(reading, EXTRACTED)
 
 
+def extract_first(
+    files: DataFrame, readers: dict[str, PageReader], settings: Settings = DEFAULTS
+) -> DataFrame:
+    """Read each ``(doc_id, content)`` with the first reader that finds text.
+
+    Readers are tried in their order.  One that raises is skipped; the first whose
+    page 1 has more letters and digits than the minimum is taken.  Adds
+    ``extraction_method`` (null where none is taken), ``pages``, ``page_count`` and
+    ``open_error`` (the last error where every reader raised).  Null content stays
+    unread.
+    """
+    least = settings.min_alphanumerics
+
+    def reading(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for doc_id, content in zip(batch["doc_id"], batch["content"]):
+                method, pages, count, error, opened = None, None, None, None, False
+                for name, reader in readers.items() if content is not None else ():
+                    try:
+                        texts = reader(bytes(content))
+                    except Exception as problem:
+                        error = f"{type(problem).__name__}: {problem}"
+                        continue
+                    opened, count = True, len(texts)
+                    if texts and sum(map(str.isalnum, texts[0])) > least:
+                        method = name
+                        pages = [{"page_no": n, "text": t} for n, t in enumerate(texts, 1)]
+                        break
+                rows.append((doc_id, method, pages, count, None if opened else error))
+            yield pd.DataFrame(
+                rows, columns=["doc_id", "extraction_method", "pages", "page_count", "open_error"]
+            ).astype({"page_count": "Int32"})
+
+    rows = files.select(F.col("doc_id").cast("string").alias("doc_id"), "content")
+    return rows.mapInPandas(reading, FIRST_FOUND)
+
+
 def extract_fields(prompts: DataFrame, reader: FieldReader) -> DataFrame:
     """Apply ``reader(system, user) -> (reply, tokens)`` to each prompt row.
 

@@ -14,20 +14,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows of an input of few files on all cores; larger inputs stay as they are.
-
-    A small Parquet file is one row group.  It may be cut into several splits,
-    but one of them gets all rows, and a projection that is heavy on CPU would
-    use one core.  An input with many splits, or with a file for every core, is
-    never shuffled here.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() > 2 * cores or len(rows.inputFiles()) >= cores:
-        return rows
-    return rows.repartition(cores)
-
-
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The same table read as a stream of files."""
     schema = table(spark, folder, name).schema

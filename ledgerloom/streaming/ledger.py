@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
-from ledgerloom.functions import replies as rp
-from ledgerloom.functions import text as tx
 from ledgerloom.plans import invoices
 from ledgerloom.schemas import DEFAULTS, Settings
 from ledgerloom.sinks import tables
@@ -21,19 +19,13 @@ def append_new(
 ) -> None:
     """Append the batch without the keys the ledger already holds.
 
-    One accepted reply is kept per key, chosen by its text.  The ledger is read for its
+    One accepted reply is kept per key, chosen as everywhere.  The ledger is read for its
     key column only and is first reduced to the keys of the batch; the batch
     keys are the small side of that join, which adaptive execution broadcasts
     when their measured size allows it.  Running a batch again, also after it
     was written in part, adds nothing twice.
     """
-    once = (
-        batch.where(tx.bind(tx.unfence(F.col("content")), rp.is_json_object))
-        .groupBy("doc_id")
-        .agg(F.min(F.struct("content", "total_tokens")).alias("reply"))
-        .select("doc_id", "reply.*")
-    )
-    rows = invoices.to_ledger(once, day, settings)
+    rows = invoices.to_ledger(batch, day, settings)
     known = _known_keys(batch.sparkSession, path)
     if known is not None:
         keys = batch.select(F.col("doc_id").alias("id")).distinct()

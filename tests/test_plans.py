@@ -9,7 +9,7 @@ from ledgerloom.operators import ledger, pages, replies
 from ledgerloom.plans import documents as plan
 
 # Queries whose work is user code or a folder listing.
-PYTHON = {"extractor_plug", "extract_plug", "pdf_scan", "file_inventory"}
+PYTHON = {"extractor_plug", "extract_plug", "pdf_scan", "file_inventory", "pipeline_result"}
 STREAMS = {"stream_intake", "stream_job_state", "stream_ledger"}
 
 
@@ -30,9 +30,16 @@ def test_documents_to_requests_without_shuffle(spark, small):
     assert "Exchange" not in text_of(plan.prepare(paged))
 
 
-def test_replies_to_ledger_without_shuffle(spark, small):
+@pytest.mark.parametrize("name", ["page_assembly", "prompt_build", "request_rows", "parse_invoice"])
+def test_registered_projections_do_not_shuffle(spark, small, name):
+    assert "Exchange" not in text_of(QUERIES[name](spark, small))
+
+
+def test_replies_to_ledger_with_one_shuffle(spark, small):
     table = spark.read.parquet(inp.replies_path(spark, small))
-    assert "Exchange" not in text_of(replies.accepted_invoices(table))
+    plan_text = text_of(replies.accepted_invoices(table))
+    assert plan_text.count("Exchange hashpartitioning(doc_id") == 1
+    assert plan_text.count("Exchange") == 1 and "partial_min" in plan_text
 
 
 def test_gate_and_parse_run_once(spark, small):

@@ -143,7 +143,24 @@ def test_field_count_and_cost(spark):
     assert counts == [2, None, 0]
     costs = {r.doc_id: (r.tokens_used, round(r.cost_estimate, 9))
              for r in replies.token_cost(table.union(table)).collect()}
-    assert costs == {0: (200, 0.00003), 2: (200, 0.00003)}
+    assert costs == {0: (100, 0.000015), 2: (100, 0.000015)}
+
+
+def test_one_reply_counts_everywhere(spark):
+    rows = [
+        (1, "no", 5),
+        (1, '{"moneda":"USD","total":99,"extra":1}', 200),
+        (1, '{"moneda":"PEN","total":10}', 100),
+        (2, "bad", 7),
+    ]
+    table = spark.createDataFrame(rows, "doc_id LONG, content STRING, total_tokens LONG")
+    (invoice,) = replies.accepted_invoices(table).collect()
+    assert (invoice.id, invoice.moneda, invoice.total_tokens) == (1, "PEN", 100)
+    assert invoice.body == '{"moneda":"PEN","total":10}'
+    assert [tuple(r)[:2] for r in replies.token_cost(table).collect()] == [(1, 100)]
+    chosen = {r.doc_id: r for r in replies.one_per_document(table).collect()}
+    assert chosen[1].tokens == 100 and chosen[1].extracted_data.moneda == "PEN"
+    assert not chosen[2].accepted and chosen[2].tokens is None
 
 
 def test_parse_of_payload_is_identity(spark, small):

@@ -27,14 +27,23 @@ def test_intake_judges_each_file_once(spark, tmp_path):
         intake.start(
             spark, str(folder), out, checkpoint, Settings(max_size_mb=1), files_per_batch=2
         ).awaitTermination()
-        return {r.filename: r.code for r in spark.read.parquet(out).collect()}
+        intake.judge_empty(spark, str(folder), out, Settings(max_size_mb=1))
+        return {r.filename: r.code for r in intake.verdicts(spark, out).collect()}
 
     for i in range(5):
         (folder / f"{i}.pdf").write_bytes(b"%PDF" if i % 2 else b"no")
     assert run() == {"0.pdf": 400, "1.pdf": None, "2.pdf": 400, "3.pdf": None, "4.pdf": 400}
     (folder / "late.txt").write_bytes(b"%PDF")
-    assert len(run()) == 6
-    assert len(run()) == 6 and spark.read.parquet(out).count() == 6
+    (folder / "empty.pdf").write_bytes(b"")
+    (folder / "huge.pdf").write_bytes(b"%PDF" + b"x" * (2 << 20))
+    limit = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(limit, str(1 << 20))  # opening the huge file would fail
+    try:
+        got = run()
+        assert len(got) == 8 and got["empty.pdf"] == 400 and got["huge.pdf"] == 413
+        assert len(run()) == 8 and intake.verdicts(spark, out).count() == 8
+    finally:
+        spark.conf.unset(limit)
 
 
 def test_job_states_equal_the_batch(spark, small, tmp_path):

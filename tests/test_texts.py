@@ -139,3 +139,44 @@ def test_first_error_stays(spark):
     rows = plan.prepare(paged).orderBy("doc_id").collect()
     assert [r.error for r in rows] == [fv.NO_ASSEMBLED_TEXT, None]
     assert [r.status for r in rows] == ["FAILED", "PROCESSING"]
+
+
+def test_failed_documents_stay_failed(spark):
+    rows = [
+        (1, "FAILED", fv.EMPTY_FILE, fv.STAGES[0], "long enough to be a page of text"),
+        (2, "PROCESSING", None, fv.STAGES[0], ""),
+        (3, "PROCESSING", None, fv.STAGES[0], "long enough to be a page of text"),
+    ]
+    table = spark.createDataFrame(
+        rows, "doc_id LONG, status STRING, error STRING, processing_stage STRING, text STRING"
+    )
+    paged = table.withColumn("pages", pages.page_array(F.col("text")))
+    prepared = {r.doc_id: r for r in plan.prepare(paged).collect()}
+    assert (prepared[1].status, prepared[1].error) == ("FAILED", fv.EMPTY_FILE)
+    assert prepared[1].user_prompt is None and prepared[3].user_prompt
+    assert (prepared[2].status, prepared[2].error) == ("FAILED", fv.NO_ASSEMBLED_TEXT)
+    replies = spark.createDataFrame(
+        [(i, '{"total": 1}', 5) for i in (1, 2, 3)], "doc_id LONG, content STRING, total_tokens LONG"
+    )
+    done = {r.doc_id: r for r in plan.finish(plan.prepare(paged), replies).collect()}
+    assert [done[i].status for i in (1, 2, 3)] == ["FAILED", "FAILED", "COMPLETED"]
+    assert [done[i].processing_stage for i in (1, 2, 3)] == [
+        fv.STAGES[0], fv.STAGES[1], fv.STAGES[3],
+    ]
+
+
+def test_gate_looks_at_the_first_page(spark):
+    texts_ = ["--\nsome text on the second page", "some text on the first page\n--", None, ""]
+    table = spark.createDataFrame(list(enumerate(texts_)), "i INT, text STRING")
+    got = table.select(pages.has_text(F.col("text"))).collect()
+    assert [r[0] for r in got] == [False, True, False, False]
+
+
+def test_chunks_overlap_and_cover_all_words(spark):
+    table = spark.createDataFrame(
+        [(1, " ".join(map(str, range(25)))), (2, " "), (3, None), (4, "a")], "doc_id INT, text STRING"
+    )
+    rows = texts.chunks(table, "text", size=10, overlap=3).orderBy("doc_id", "chunk_no").collect()
+    assert [(r.doc_id, r.chunk.split()[0], r.chunk.split()[-1]) for r in rows] == [
+        (1, "0", "9"), (1, "7", "16"), (1, "14", "23"), (1, "21", "24"), (4, "a", "a"),
+    ]

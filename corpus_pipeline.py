@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontamination, mixing, secrets, simhash, toxicity
+from ledgerloom.llm import decontamination, mixing, neardup, secrets, toxicity
 from ledgerloom.llm.common import read, saved
 
 
@@ -19,8 +19,8 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash class."""
-    return simhash.keep_one(docs)
+    """Keep one document of each group of near duplicates."""
+    return neardup.keep_one(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def saved(rows: DataFrame, name: str) -> DataFrame:
+def saved(rows: DataFrame, name: str, **options: str) -> DataFrame:
     """Write rows to the shared folder and read them back.
 
     Cuts the lineage in a way that outlives lost executors, and fixes the values
@@ -26,7 +26,7 @@ def saved(rows: DataFrame, name: str) -> DataFrame:
     """
     spark = rows.sparkSession
     path = fresh_path(spark, name)
-    rows.write.parquet(path)
+    rows.write.options(**options).parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 

@@ -1,0 +1,259 @@
+"""One document of each group of near duplicates, by SimHash balls and exact checks.
+
+Fingerprints that differ in up to two of 64 bits link, as `simhash` says.  Texts of
+0.8 similarity differ in some ten bits, which no ball of affordable size covers.  So
+a wide fingerprint is cut into sections, and each section is met in the middle like a
+fingerprint of its own: near texts agree in at least one section up to two bits.
+Meeting pairs are candidates only; their five-word shingles decide.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ledgerloom.llm import simhash
+from ledgerloom.llm.common import free_name, saved, split_mix
+from ledgerloom.llm.graphs import components
+
+#: Words of a shingle and least similarity (Jaccard) of near duplicates.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Words of a shingle of the wide fingerprint, its sections, bits of a section, radius.
+#: Texts of 0.8 similarity differ in some 0.1 to 0.12 of the bits, so that of eight
+#: sections one at least is within the radius for 96 to 99 of 100 such pairs.  Of
+#: other pairs one in 700,000 meets in a section; for more than some 10**8 texts take
+#: longer and more sections.
+WIDE_SHINGLE, SECTIONS, SECTION_BITS, RADIUS = 2, 8, 28, 2
+#: Most of the bits of the wide fingerprint in which candidates differ.  Texts of 0.8
+#: similarity differ in a tenth of them; a quarter is eight standard deviations off.
+WIDE_PART = 0.25
+_CHUNK = 1 << 15
+_TASK = 1 << 33
+
+
+def hashes(text: bytes, size: int) -> np.ndarray:
+    """Hashes of the shingles of a text, in order, repeats included."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    size = min(size, len(words))
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter(
+        (digest(b" ".join(words[i : i + size]), 5) for i in range(len(words) - size + 1)),
+        np.uint64,
+        len(words) - size + 1,
+    )
+
+
+def wide(text: bytes, sections: int = SECTIONS, width: int = SECTION_BITS) -> np.ndarray:
+    """A SimHash of `sections` numbers of `width` bits over the word pairs of a text."""
+    found = hashes(text, WIDE_SHINGLE)
+    words = -(-sections * width // 64)
+    ones = np.zeros(64 * words, np.int64)
+    salts = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(found), _CHUNK):
+        mixed = split_mix(found[at : at + _CHUNK, None] ^ salts).astype("<u8")
+        bits = np.unpackbits(mixed.view(np.uint8).reshape(len(mixed), -1), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.int32)
+    set_ = (2 * ones > len(found))[: sections * width].reshape(sections, width)
+    return set_.astype(np.int64) @ (np.int64(1) << np.arange(width, dtype=np.int64))
+
+
+def numbered(docs: DataFrame, text: str, names: dict[str, str]) -> DataFrame:
+    """`docs` with a number for each row, a digest and both fingerprints, written."""
+    place = docs.columns.index(text)
+    plain = docs.withColumn(text, F.col(text).cast("string"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() * _TASK
+        for batch in batches:
+            count = batch.num_rows
+            digests, prints, sections = [], [], []
+            for value in batch.column(place).cast(pa.large_binary()):
+                raw = value.as_py() or b""
+                digests.append(xxhash.xxh128_digest(raw))
+                prints.append(simhash.fingerprint(raw))
+                sections.append(wide(raw))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns,
+                    pa.array(np.arange(number, number + count)),
+                    pa.array(digests, pa.binary()),
+                    pa.array(np.array(prints, np.uint64).view(np.int64)),
+                    pa.array([list(x) for x in sections], pa.list_(pa.int64())),
+                ],
+                [*batch.schema.names, *names.values()],
+            )
+            number += count
+
+    kinds = (T.LongType(), T.BinaryType(), T.LongType(), T.ArrayType(T.LongType()))
+    schema = T.StructType([*plain.schema.fields])
+    for name, kind in zip(names.values(), kinds):
+        schema = schema.add(name, kind)
+    return saved(plain.mapInArrow(mark, schema), "neardup-rows", compression="zstd")
+
+
+def met(unique: DataFrame) -> DataFrame:
+    """Members of crowded variants: `(variant, n, before, crowd)`.
+
+    A variant is a value within one bit of a section or of the 64-bit fingerprint.
+    `before` is the member before in order of number; lone members are left out.
+    """
+    single = [1 << i for i in range(SECTION_BITS)]
+    sections = unique.select("n", F.posexplode("sections").alias("section", "value")).select(
+        "n",
+        F.explode(
+            F.array(*[F.col("value").bitwiseXOR(F.lit(mask).cast("long")) for mask in [0, *single]])
+        ).alias("value"),
+        "section",
+    )
+    prints = unique.select(
+        "n", simhash.variants("fingerprint", simhash.RADIUS).alias("value"), F.lit(-1).alias("section")
+    )
+    # The section goes above the bits of a value; fingerprints use all 64 bits and are
+    # hashed, so that one column of eight bytes is the key of both.
+    key = F.when(F.col("section") < 0, F.xxhash64("value")).otherwise(
+        F.col("value") + (F.col("section").cast("long") + 1) * (1 << SECTION_BITS)
+    )
+    dealt = sections.select("n", "value", "section").union(prints).select(key.alias("variant"), "n")
+    along = Window.partitionBy("variant").orderBy("n")
+    return dealt.select(
+        "variant", "n", F.lag("n").over(along).alias("before"), F.lead("n").over(along).alias("after")
+    ).filter("before is not null or after is not null")
+
+
+def similar(pairs: DataFrame, unique: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs `(a, b)` of numbers that are near duplicates.
+
+    Either the fingerprints differ in two bits at most, or the sets of five-word
+    shingles have the similarity.  Wide fingerprints that differ in a quarter of their
+    bits spare the latter check.
+    """
+    known = unique.select("n", "fingerprint", "sections")
+    both = (
+        pairs.join(_named(known, "a"), "a").join(_named(known, "b"), "b")
+    )
+    apart = F.aggregate(
+        F.zip_with("a_sections", "b_sections", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.lit(0),
+        lambda sum_, x: sum_ + x,
+    )
+    linked = F.bit_count(F.col("a_fingerprint").bitwiseXOR(F.col("b_fingerprint"))) <= simhash.RADIUS
+    judged = saved(
+        both.filter(linked | (apart <= WIDE_PART * SECTIONS * SECTION_BITS)).select(
+            "a", "b", linked.alias("linked")
+        ),
+        "neardup-candidates",
+    )
+    open_ = judged.filter("not linked").select("a", "b")
+    wanted = open_.select(F.col("a").alias("n")).union(open_.select("b")).distinct()
+
+    @F.arrow_udf("array<long>")
+    def shingles(values: pa.Array) -> pa.Array:
+        found = [
+            np.unique(hashes(v.as_py() or b"", SHINGLE)).view(np.int64)
+            for v in values.cast(pa.large_binary())
+        ]
+        return pa.array(found, pa.list_(pa.int64()))
+
+    sets = saved(
+        texts.join(wanted, "n", "left_semi").select("n", shingles("text").alias("set")), "neardup-sets"
+    )
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    alike = shared >= SIMILARITY * (F.size("a_set") + F.size("b_set") - shared)
+    exact = open_.join(_named(sets, "a"), "a").join(_named(sets, "b"), "b").filter(alike)
+    return saved(judged.filter("linked").select("a", "b").union(exact.select("a", "b")), "neardup-links")
+
+
+def _named(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select(
+        F.col("n").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != "n"]
+    )
+
+
+def classes(unique: DataFrame, texts: DataFrame) -> DataFrame:
+    """`(n, root)` of the texts that have a near duplicate.
+
+    First every member of a variant is compared with the one before it.  Then, where
+    the members of a variant are still in several classes, all members outside of the
+    largest class are compared with all others: no pair that meets is left out, but
+    for those that are in one class already.
+    """
+    members = saved(met(unique), "neardup-met")
+    pairs = members.filter("before is not null").select(
+        F.col("before").alias("a"), F.col("n").alias("b")
+    )
+    tested = saved(pairs.distinct(), "neardup-pairs")
+    links = similar(tested, unique, texts)
+    roots = components(links, "neardup-classes")
+    crowded = members.filter("before is not null and after is not null").select("variant").distinct()
+    placed = (
+        members.join(crowded, "variant", "left_semi")
+        .join(roots.withColumnRenamed("node", "n"), "n", "left")
+        .select("variant", "n", F.coalesce("root", "n").alias("root"))
+    )
+    placed = saved(placed, "neardup-placed")
+    largest = (
+        placed.groupBy("variant", "root")
+        .agg(F.count("*").alias("size"))
+        .groupBy("variant")
+        .agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots"))
+        .filter("roots > 1")
+    )
+    mixed = placed.join(largest, "variant")
+    outside = mixed.filter("root <> main").select("variant", F.col("n").alias("x"), F.col("root").alias("own"))
+    rest = (
+        outside.join(mixed.select("variant", "n", "root"), "variant")
+        .filter("own <> root")
+        .select(F.least("x", "n").alias("a"), F.greatest("x", "n").alias("b"))
+        .distinct()
+        .join(tested, ["a", "b"], "left_anti")
+    )
+    more = similar(saved(rest, "neardup-rest"), unique, texts)
+    return components(links.union(more), "neardup-classes").select(F.col("node").alias("n"), "root")
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs`, one of each group of near duplicates, with all their columns.
+
+    The row with the least id stays (null last; ties by the row's number).  Copies of
+    a text are one node of the graph.  Texts without words, null among them, are
+    copies of each other in their fingerprints and so one group.  An empty table
+    gives an empty result.
+    """
+    names = {k: free_name(docs, k) for k in ("n", "digest", "fingerprint", "sections")}
+    rows = numbered(docs, text, names)
+    plain = rows.select(
+        F.col(f"`{id_column}`").alias("id"),
+        F.col(f"`{text}`").alias("text"),
+        *[F.col(name).alias(k) for k, name in names.items()],
+    )
+    order: Column = F.struct(
+        F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("n").alias("n")
+    )
+    unique = saved(
+        plain.groupBy("digest").agg(
+            F.min(order).alias("first"),
+            F.first("fingerprint").alias("fingerprint"),
+            F.first("sections").alias("sections"),
+        ).select("first", "first.n", "fingerprint", "sections"),
+        "neardup-unique",
+    )
+    found = classes(unique.drop("first"), plain.select("n", "text"))
+    kept = (
+        unique.select("n", "first")
+        .join(found, "n", "left")
+        .groupBy(F.coalesce("root", "n").alias("root"))
+        .agg(F.min("first").alias("first"))
+        .select(F.col("first.n").alias(names["n"]))
+    )
+    return rows.join(saved(kept, "neardup-kept"), names["n"], "left_semi").select(
+        *[F.col(f"`{name}`") for name in docs.columns]
+    )

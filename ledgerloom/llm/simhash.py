@@ -140,39 +140,3 @@ def near_duplicates(
         F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
         "component_id",
     )
-
-
-def keep_one(
-    docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS
-) -> DataFrame:
-    """The rows of `docs`, one of each near-duplicate class, with all their columns.
-
-    The row with the least id stays (null last; ties by a digest of id and text).
-    Rows that repeat an id and text exactly are one row.
-    """
-    key = free_name(docs, "row_key")
-    rows = saved(
-        docs.select(
-            F.col(id_column).alias("id"),
-            row_key(id_column, text).alias("key"),
-            fingerprints(docs, text).alias("fingerprint"),
-        ),
-        "simhash-rows",
-    )
-    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))
-    prints = saved(
-        rows.groupBy("fingerprint").agg(F.min(order).alias("first")), "simhash-prints"
-    )
-    grouped = classes(prints.select("fingerprint"), radius)
-    first = saved(
-        grouped.join(prints, "fingerprint").groupBy("root").agg(F.min("first").alias("first")),
-        "simhash-first",
-    )
-    stay = first.select(F.col("first.key").alias("key"))
-    kept = docs.withColumn(key, row_key(id_column, text)).join(
-        stay.withColumnRenamed("key", key), key, "left_semi"
-    )
-    copies = rows.join(stay, "key", "left_semi").groupBy("key").count()
-    if not copies.filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates([key])
-    return kept.select(*[F.col(f"`{name}`") for name in docs.columns])

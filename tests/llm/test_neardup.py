@@ -1,0 +1,106 @@
+"""Near duplicates: what stays, against brute force over shingle sets."""
+
+import random
+
+import numpy as np
+import pytest
+
+from ledgerloom.llm import neardup, simhash
+
+
+def shingles(text):
+    return set(neardup.hashes((text or "").encode(), 5).tolist())
+
+
+def similarity(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / max(1, len(a | b))
+
+
+def near(a, b):
+    x, y = (simhash.fingerprint((t or "").encode()) for t in (a, b))
+    return (x ^ y).bit_count() <= 2 or similarity(a, b) >= 0.8
+
+
+def expected(rows):
+    """Ids that stay, by union-find over all pairs of different texts."""
+    texts = sorted({t or "" for _, t in rows})
+    parent = {t: t for t in texts}
+
+    def root(t):
+        while parent[t] != t:
+            t = parent[t]
+        return t
+
+    for i, a in enumerate(texts):
+        for b in texts[i + 1 :]:
+            if near(a, b):
+                parent[root(a)] = root(b)
+    least = {}
+    for i, t in rows:
+        r = root(t or "")
+        old = least.get(r, (True, None))
+        least[r] = min(old, (i is None, i), key=lambda x: (x[0], x[1] or 0)) if r in least else (i is None, i)
+    return sorted(least.values(), key=lambda x: (x[0], x[1] or 0))
+
+
+def kept(docs):
+    rows = neardup.keep_one(docs)
+    assert rows.columns == docs.columns
+    return sorted(
+        ((r["doc_id"] is None, r["doc_id"]) for r in rows.collect()), key=lambda x: (x[0], x[1] or 0)
+    )
+
+
+def test_hostile_texts(hostile):
+    rows = [(r["doc_id"], r["text"]) for r in hostile.collect()]
+    assert kept(hostile) == expected(rows)
+
+
+def test_empty_table(empty):
+    assert kept(empty) == []
+
+
+def changed(rng, words, count):
+    out = list(words)
+    for at in rng.sample(range(len(out)), count):
+        out[at] = f"z{rng.randrange(10**9)}"
+    return out
+
+
+@pytest.fixture(scope="module")
+def planted():
+    """Groups of near copies, a chain, and texts that only look alike."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(300)]
+        texts.append(base)
+        texts += [changed(rng, base, rng.choice([1, 3, 5])) for _ in range(rng.randrange(4))]
+        texts.append(changed(rng, base, 60))
+    hub = [word() for _ in range(400)]
+    texts += [hub, *(changed(rng, hub, 6) for _ in range(40))]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    return rows + [(1000 + i, t) for i, t in rows[:20]]
+
+
+def test_planted_groups(spark, planted):
+    docs = spark.createDataFrame(planted, "doc_id long, text string").repartition(5)
+    assert kept(docs) == expected(planted)
+
+
+def test_recall_of_pairs_at_the_limit():
+    rng = random.Random(4)
+    hit = total = 0
+    while total < 300:
+        base = [f"w{rng.randrange(400)}" for _ in range(300)]
+        other = changed(rng, base, rng.randrange(4, 8))
+        a, b = " ".join(base), " ".join(other)
+        if similarity(a, b) < 0.8:
+            continue
+        total += 1
+        apart = np.bitwise_count(neardup.wide(a.encode()) ^ neardup.wide(b.encode()))
+        hit += near(a, b) and apart.min() <= neardup.RADIUS
+    assert hit / total >= 0.93

@@ -62,7 +62,6 @@ def test_equals_brute_force_on_hostile_texts(hostile):
 
 def test_empty_table(empty):
     assert simhash.near_duplicates(empty).count() == 0
-    assert simhash.keep_one(empty).count() == 0
 
 
 @pytest.mark.parametrize("radius", [0, 2, 4])
@@ -98,14 +97,3 @@ def test_components_of_chains_and_stars(spark):
     assert {found[i] for i in range(100, 181)} == {100}
     assert {found[i] for i in range(300, 500)} == {7} and found[9] == 9
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
-def test_one_row_of_each_class_stays(hostile):
-    kept = simhash.keep_one(hostile)
-    assert kept.columns == hostile.columns
-    rows = kept.collect()
-    prints = [plain(r["text"]) for r in rows]
-    assert len(set(prints)) == len(prints)
-    comp = expected([(r["doc_id"], plain(r["text"])) for r in hostile.collect()])
-    assert {comp[f] for f in prints} == set(comp.values())
-    assert len(rows) == len(set(comp.values()))

@@ -28,7 +28,7 @@ LEET = {
     "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l",
 }
 #: Costs of the channel in nats: a replaced, a dropped and an added character.
-REPLACED, DROPPED, ADDED = 1.0, 3.0, 0.7
+REPLACED, DROPPED, ADDED = 1.0, 6.0, 0.7
 #: Letters that make a run, and the prefixes of a word that are features.
 RUN, PREFIXES = 3, range(3, 9)
 #: Bounds of the classifier: labelled rows, features, and rows that a feature needs.

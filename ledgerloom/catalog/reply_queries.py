@@ -7,12 +7,14 @@ import datetime
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
+from ledgerloom import session
 from ledgerloom.catalog import inputs as inp
 from ledgerloom.catalog.registry import literal, query, stamp
 from ledgerloom.functions import numbers as nm
 from ledgerloom.functions import text as tx
 from ledgerloom.operators import checks, forms, ledger, money, replies, report
 from ledgerloom.plans import invoices as plan
+from ledgerloom.sources import tables as tables_in
 
 STRIP_SQL = "trim({0}, ' ' || chr(10))"
 UNFENCE_SQL = STRIP_SQL.format(
@@ -524,6 +526,36 @@ def invoice_overview(spark, folder):
     )
 
 
+# --------------------------------------------------------------- edited payloads
+_LINES: dict[tuple[str, str], str] = {}
+
+
+@query(
+    "payload_scan",
+    inp.cte(*inp.INVOICE_CTE)
+    + "select v.id is not null as accepted, "
+    f"case when v.id is null then {literal(fv.BAD_REPLY)} end as error, v.razon_social_cliente, "
+    "v.moneda, v.total, len(v.items) as n_items from "
+    "(select id from written union all select id from written where id % 9 = 4) w "
+    "left join invoices v on v.id = w.id and v.id % 8 in (0, 7)",
+)
+def payload_scan(spark, folder):
+    """Lines of which some are one JSON object; written once per session and folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _LINES:
+        target = session.fresh_path(spark, "payloads")
+        inp.replies(spark, folder).select(F.translate("content", "\n", " ")).write.text(target)
+        _LINES[key] = target
+    return tables_in.payloads(spark, _LINES[key]).select(
+        "accepted",
+        "error",
+        "razon_social_cliente",
+        "moneda",
+        "total",
+        F.size("items").alias("n_items"),
+    )
+
+
 # -------------------------------------------------------------- quality and cost
 @query(
     "completeness",

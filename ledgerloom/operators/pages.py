@@ -74,26 +74,24 @@ def assemble_rows(pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Assembly of a table ``(doc_id, page_no, text)``; documents without a kept page drop out.
 
     A document with very many page rows meets the page filter first and then
-    keeps at most one text per page number in partial aggregates.
+    keeps the different texts of each wanted page in partial aggregates.  Several texts
+    of one page number are blocks of their own, in order of the text; equal ones are
+    one.
     """
     body = tx.strip(F.col("text"))
     kept = pages.select("doc_id", "page_no", body.alias("text")).where(
         F.col("page_no").between(1, settings.max_pages)
         & (F.length("text") > settings.min_page_chars)
     )
-    numbers = range(1, settings.max_pages + 1)
     grouped = kept.groupBy("doc_id").agg(
-        *[F.max(F.when(F.col("page_no") == n, F.col("text"))).alias(f"page_{n}") for n in numbers]
+        F.sort_array(F.collect_set(F.struct("page_no", "text"))).alias("pages")
     )
-    blocks = [
-        F.coalesce(_page_block(F.lit(n), F.col(f"page_{n}")), F.lit("")) for n in numbers
-    ]
-    present = [F.col(f"page_{n}").isNotNull().cast("int") for n in numbers]
+    blocks = F.transform("pages", lambda page: _page_block(page["page_no"], page["text"]))
     return (
-        grouped.withColumn("raw_text", F.concat(*blocks))
-        .withColumn("pages_with_text", sum(present[1:], present[0]))
+        grouped.withColumn("raw_text", F.array_join(blocks, ""))
+        .withColumn("pages_with_text", F.size("pages"))
         .withColumn("total_characters", F.length(tx.strip(F.col("raw_text"))))
-        .drop(*[f"page_{n}" for n in numbers])
+        .drop("pages")
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom import fixed_values as fv
+
 
 def append_ledger(stored: DataFrame, path: str) -> None:
     """Append header and items of each invoice as one nested row.
@@ -24,15 +26,18 @@ def ledger_item_view(ledger: DataFrame) -> DataFrame:
 
 
 def export_report(report: DataFrame, path: str) -> None:
-    """CSV files in one folder per currency.
+    """CSV files in one folder per known currency, and one for all others.
 
-    The rebalance hint lets adaptive execution cut the output into files of
-    even size, however unevenly the currencies are spread.
+    Currencies are free text of a model, so their number is not bounded; the value
+    stays a column.  The rebalance hint lets adaptive execution cut the output into
+    files of even size, however unevenly the currencies are spread.
     """
+    known = F.when(F.col("moneda").isin(*fv.CURRENCIES_FORM), F.col("moneda")).otherwise("other")
     (
-        report.hint("rebalance", "moneda")
+        report.withColumn("currency_folder", known)
+        .hint("rebalance", "currency_folder")
         .write.mode("errorifexists")
-        .partitionBy("moneda")
+        .partitionBy("currency_folder")
         .option("header", True)
         .csv(path)
     )

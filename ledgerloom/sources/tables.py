@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom import fixed_values as fv
 from ledgerloom.functions import replies as rp
-from ledgerloom.schemas import RAW_INVOICE
+from ledgerloom.functions import text as tx
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,11 +26,19 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """Edited invoice payloads, one JSON object per line, with the file name if sent."""
-    raw = spark.read.schema(f"{RAW_INVOICE}, _filename STRING").json(folder)
-    whole = F.struct(*[F.col(f"`{name}`") for name in raw.columns])
-    fields = [value.alias(name) for name, value in rp.to_stored(whole).items()]
-    return raw.select(*fields, F.col("_filename").alias("filename"))
+    """Edited invoice payloads, one JSON object per line, with the file name if sent.
+
+    Every line is one row.  A line that is not exactly one JSON object has null
+    fields, ``accepted`` false and the error; ``body`` is the line as received.
+    """
+    lines = spark.read.text(folder).select(tx.strip(F.col("value")).alias("body"))
+    judged = lines.withColumn("accepted", rp.is_json_object(F.col("body")))
+    whole = F.when(F.col("accepted"), rp.parse_raw(F.col("body")))
+    name = F.get_json_object(F.when(F.col("accepted"), F.col("body")), "$._filename")
+    parsed = judged.withColumn("raw", whole).withColumn("filename", name)
+    fields = [value.alias(field) for field, value in rp.to_stored(F.col("raw")).items()]
+    error = F.when(~F.col("accepted"), F.lit(fv.BAD_REPLY)).alias("error")
+    return parsed.select(*fields, "filename", "body", "accepted", error)
 
 
 def jdbc_table(

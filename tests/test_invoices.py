@@ -202,6 +202,11 @@ def test_report(spark, tmp_path):
     back = spark.read.option("header", True).csv(path)
     assert back.count() == table.count()
     assert {r.moneda for r in back.select("moneda").distinct().collect()} == {"PEN", "EUR"}
+    folders = {r.currency_folder for r in back.select("currency_folder").distinct().collect()}
+    assert folders == {"PEN", "EUR"}
+    tables.export_report(table.withColumn("moneda", F.lit("soles")), path + "2")
+    back = spark.read.option("header", True).csv(path + "2")
+    assert {(r.moneda, r.currency_folder) for r in back.collect()} == {("soles", "other")}
 
 
 def test_request_files(spark, tmp_path):
@@ -226,6 +231,11 @@ def test_payload_source(spark, tmp_path):
     rows = sources.payloads(spark, str(path)).orderBy(F.desc("total")).collect()
     assert rows[0].filename == "f.pdf" and rows[0].total == Decimal("2.50")
     assert rows[1]["items"][0].cantidad == 3 and rows[1].filename is None
+    path.write_text('not json\n{\'total\': 7}\n{"total": 9} tail\n[{"a":1},{"a":2}]\n\n{"total": 1, "more": 2}\n')
+    rows = sources.payloads(spark, str(path)).collect()
+    assert [r.total for r in rows if r.accepted] == [Decimal("1.00")]
+    assert len(rows) == 6 and sum(r.error is not None for r in rows) == 5
+    assert [r.body for r in rows if r.accepted] == ['{"total": 1, "more": 2}']
 
 
 def test_recompute(spark):

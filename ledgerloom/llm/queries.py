@@ -100,4 +100,55 @@ QUERIES: dict[str, Query] = {
     "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {}
+_BLANK = r"\x20\x09-\x0D"
+OP6_SQL = rf"""
+with d as (
+  select row_number() over () as rid, doc_id, source, coalesce(text, '') as text from documents
+), w as (
+  select rid, regexp_extract_all(text, '[^{_BLANK}]+') as words from d
+), windows as (
+  select rid, i, words[i] as a, words[i + 1] as b, words[i + 2] as c
+  from (select rid, words, unnest(range(1, len(words) - 1)) as i from w where len(words) >= 3) as x
+), again as (
+  select rid, i from (
+    select rid, i, count(*) over (partition by rid, a, b, c) as n from windows) as x where n > 1
+), covered as (
+  select rid, count(distinct i + k) as n from again, (values (0), (1), (2)) as t(k) group by rid
+), lines as (
+  select rid, source, text, line,
+    trim(regexp_replace(lower(line), '[{_BLANK}]+', ' ', 'g')) as norm,
+    len(regexp_extract_all(line, '[^{_BLANK}]+')) as words
+  from (select rid, source, text, unnest(string_split(text, chr(10))) as line from d) as x
+  where regexp_matches(line, '[^{_BLANK}]')
+), hosts as (
+  select source, count(distinct text) as texts from d group by source
+), common as (
+  select l.source, l.norm from (
+    select source, norm, count(distinct text) as n from lines group by source, norm) as l
+  join hosts h on h.source is not distinct from l.source
+  where n > {lines.LEAST_DOCUMENTS} and n > {lines.PART_OF_HOST} * texts
+), per_line as (
+  select l.rid, count(*) - count(distinct l.line) as dup,
+    sum(case when c.norm is not null then l.words else 0 end) as lost
+  from lines l left join common c on c.norm = l.norm and c.source is not distinct from l.source
+  group by l.rid
+), facts as (
+  select d.doc_id, len(w.words) as n_words,
+    length(regexp_replace(d.text, '[{_BLANK}]+', '', 'g')) as word_chars,
+    length(regexp_replace(d.text, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
+    coalesce(p.dup, 0)::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words,
+    coalesce(p.lost, 0)::bigint as lost_words
+  from d join w on w.rid = d.rid left join covered c on c.rid = d.rid
+  left join per_line p on p.rid = d.rid
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words)
+    and n_words - lost_words >= {lines.STAYS} * n_words as kept,
+  lost_words
+from facts
+"""
+
+#: The other queries hash by XXH64, score by trained models, draw by seed or need
+#: places of matches, which DuckDB cannot restate; tests/llm has brute force for them.
+ORACLES: dict[str, str] = {"op6_lines": OP6_SQL}

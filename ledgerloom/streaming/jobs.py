@@ -10,26 +10,33 @@ from ledgerloom.operators import jobs
 
 
 def start(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write the states that changed in each batch, then stop at the end of the input.
+    """Write the last state of each job of each batch, then stop at the end of the input.
 
-    The state kept per job is its last event; an event that arrives late loses
-    against a newer one.  A repeated batch appends rows that are already there,
-    which ``current`` does not count twice.
+    No state is kept between batches, so it cannot grow: a batch leaves its own last
+    event of a job, and ``current`` takes the newest of what all batches left.  Late
+    events lose there, and a repeated batch adds rows that change nothing.
     """
 
-    def save(changed: DataFrame, _: int) -> None:
-        changed.write.mode("append").parquet(out)
+    def save(arrived: DataFrame, _: int) -> None:
+        jobs.latest(arrived).write.mode("append").parquet(out)
 
     return (
-        jobs.latest(events)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
+        events.writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(save)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def compact(spark: SparkSession, out: str, into: str) -> None:
+    """Write one row per job to a new folder, for readers to go on from.
+
+    Start the stream with the new folder afterwards; the old one can be removed when
+    no reader uses it.
+    """
+    current(spark, out).write.mode("errorifexists").parquet(into)
+
+
 def current(spark: SparkSession, out: str) -> DataFrame:
     """The newest written state of each job."""
     written = spark.read.parquet(out)

@@ -60,6 +60,10 @@ def test_job_states_equal_the_batch(spark, small, tmp_path):
     rows = spark.read.parquet(out).count()
     jobs.start(arriving, out, checkpoint).awaitTermination()
     assert spark.read.parquet(out).count() == rows
+    compacted = str(tmp_path / "compacted")
+    jobs.compact(spark, out, compacted)
+    assert same(jobs.current(spark, compacted), batch_jobs.latest(events))
+    assert spark.read.parquet(compacted).count() == batch_jobs.latest(events).count() <= rows
 
 
 def test_reply_intake_is_idempotent(spark, small, tmp_path):

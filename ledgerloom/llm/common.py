@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,14 @@ def split_mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+def release() -> None:
+    """Give memory that Arrow holds for reuse back to the system.
+
+    Workers live on between stages, and what each keeps counts against its executor.
+    """
+    pa.default_memory_pool().release_unused()
+
+
 def vocabulary_path(file: str) -> str:
     """Default place of a public vocabulary file; a folder can be given by the caller."""
     return os.path.join("/opt/tokenizers", file)

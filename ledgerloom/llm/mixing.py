@@ -14,10 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WORD, saved, split_mix, text_of
+from ledgerloom.llm.common import WORD, release, saved, split_mix, text_of
 
 #: Weights of the sources in code point order, repeating; null comes last.
 WEIGHTS = (5, 2, 1)
@@ -119,7 +119,7 @@ def packed(docs: DataFrame, id_column: str = "doc_id", text: str = "text", sourc
             )
 
     kind = f"row long, doc_id {chosen.schema['doc_id'].dataType.simpleString()}, source string, text string, size long, task int, start long"
-    return saved(chosen.mapInArrow(place, kind), "mix-packed")
+    return saved(chosen.mapInArrow(place, kind), "mix-packed", compression="zstd")
 
 
 def pieces(
@@ -136,7 +136,6 @@ def pieces(
         F.col("task").alias("base_task"),
         F.coalesce(F.sum("words").over(along), F.lit(0)).alias("base"),
     )
-    all_words = [F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("all")] if with_text else []
     placed = (
         packed_docs.filter("size > 0")
         .select("row", "doc_id", "source", "size", "task", "start", *["text"] * with_text)
@@ -147,27 +146,51 @@ def pieces(
         )
     )
     at = F.col("base") + F.col("start")
+    if with_text:
+        parts = placed.select(
+            "source", "row", "doc_id", F.explode(_cuts(F.col("text"), at, block_words)).alias("cut")
+        )
+        return parts.select("source", "cut.block", "row", "doc_id", "cut.first", "cut.words", "cut.text")
     blocks = F.sequence(
         F.floor(at / block_words), F.floor((at + F.col("size") - 1) / block_words)
     )
     cut = placed.select(
-        "source", "row", "doc_id", "size", at.alias("at"), F.explode(blocks).alias("block"), *all_words
+        "source", "row", "doc_id", "size", at.alias("at"), F.explode(blocks).alias("block")
     )
     begin = F.greatest(F.col("at"), F.col("block") * block_words)
     end = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words)
-    found = cut.select(
+    return cut.select(
         "source",
         "block",
         "row",
         "doc_id",
         (begin - F.col("at")).alias("first"),
         (end - begin).alias("words"),
-        *["all"] * with_text,
     )
-    if not with_text:
-        return found
-    part = F.slice("all", (F.col("first") + 1).cast("int"), F.col("words").cast("int"))
-    return found.withColumn("text", F.array_join(part, " ")).drop("all")
+
+
+def _cuts(text: Column, at: Column, block_words: int) -> Column:
+    """The pieces of a text that starts at a place of its source's word axis."""
+    piece = [("block", pa.int64()), ("first", pa.int64()), ("words", pa.int64()), ("text", pa.string())]
+
+    @F.arrow_udf("array<struct<block:long,first:long,words:long,text:string>>")
+    def cut(texts: pa.Array, places: pa.Array) -> pa.Array:
+        found = []
+        for value, place in zip(texts.cast(pa.large_binary()), places):
+            words, start = value.as_py().split(), place.as_py()
+            own, first = [], 0
+            while first < len(words):
+                block = (start + first) // block_words
+                part = words[first : (block + 1) * block_words - start]
+                own.append(
+                    {"block": block, "first": first, "words": len(part), "text": b" ".join(part).decode()}
+                )
+                first += len(part)
+            found.append(own)
+        release()
+        return pa.array(found, pa.list_(pa.struct(piece)))
+
+    return cut(text, at)
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import saved, text_of
+from ledgerloom.llm.common import release, saved, text_of
 
 #: What a character may stand for besides itself.
 LEET = {
@@ -37,7 +37,7 @@ THRESHOLD = 0.3
 #: Symbols of the language model: 0 ends a word, 1 to 26 are a to z, then Latin letters
 #: from U+00DF on, and the last one is any other letter.
 _SYMBOLS = 64
-_SEEN = 200_000
+_SEEN = 50_000
 
 
 def _symbol_table() -> np.ndarray:
@@ -83,6 +83,7 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
                         np.add.at(total, code, 1)
                     else:
                         total += np.bincount(code, minlength=len(total))
+            release()
         own = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(own.astype(np.int32)), pa.array(total[own])], ["trigram", "n"]
@@ -382,9 +383,9 @@ def scores(docs: DataFrame, model: Model, text: str | Column = "text") -> Column
         if not held:
             held.extend((Restorer(shared.value.costs), {}))
         restorer, cache = held
-        return pa.array(
-            [shared.value.score(restorer.words(t.as_py()), cache) for t in texts], pa.float64()
-        )
+        found = [shared.value.score(restorer.words(t.as_py()), cache) for t in texts]
+        release()
+        return pa.array(found, pa.float64())
 
     return score(text_of(text))
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import simhash
-from ledgerloom.llm.common import free_name, saved, split_mix
+from ledgerloom.llm.common import free_name, release, saved, split_mix
 from ledgerloom.llm.graphs import components
 
 #: Words of a shingle and least similarity (Jaccard) of near duplicates.
@@ -92,6 +92,7 @@ def numbered(docs: DataFrame, text: str, names: dict[str, str]) -> DataFrame:
                 [*batch.schema.names, *names.values()],
             )
             number += count
+            release()
 
     kinds = (T.LongType(), T.BinaryType(), T.LongType(), T.ArrayType(T.LongType()))
     schema = T.StructType([*plain.schema.fields])
@@ -101,10 +102,9 @@ def numbered(docs: DataFrame, text: str, names: dict[str, str]) -> DataFrame:
 
 
 def met(unique: DataFrame) -> DataFrame:
-    """Members of crowded variants: `(variant, n, before, crowd)`.
+    """Members of the variants that several texts have: `(variant, n)`.
 
     A variant is a value within one bit of a section or of the 64-bit fingerprint.
-    `before` is the member before in order of number; lone members are left out.
     """
     single = [1 << i for i in range(SECTION_BITS)]
     sections = unique.select("n", F.posexplode("sections").alias("section", "value")).select(
@@ -124,9 +124,10 @@ def met(unique: DataFrame) -> DataFrame:
     )
     dealt = sections.select("n", "value", "section").union(prints).select(key.alias("variant"), "n")
     along = Window.partitionBy("variant").orderBy("n")
-    return dealt.select(
-        "variant", "n", F.lag("n").over(along).alias("before"), F.lead("n").over(along).alias("after")
-    ).filter("before is not null or after is not null")
+    beside = F.coalesce(F.lag("n").over(along), F.lead("n").over(along))
+    return dealt.select("variant", "n", beside.alias("beside")).filter("beside is not null").drop(
+        "beside"
+    )
 
 
 def similar(pairs: DataFrame, unique: DataFrame, texts: DataFrame) -> DataFrame:
@@ -178,46 +179,35 @@ def _named(rows: DataFrame, side: str) -> DataFrame:
     )
 
 
-def classes(unique: DataFrame, texts: DataFrame) -> DataFrame:
-    """`(n, root)` of the texts that have a near duplicate.
+def candidates(members: DataFrame) -> DataFrame:
+    """`(a, b)`: each member of a variant with the variant's centre, every pair once.
 
-    First every member of a variant is compared with the one before it.  Then, where
-    the members of a variant are still in several classes, all members outside of the
-    largest class are compared with all others: no pair that meets is left out, but
-    for those that are in one class already.
+    The centre is the member that meets others most often (ties: the least number),
+    which is the text that the others are copies of.  A variant of very many members
+    so gives one pair a member and not all pairs.  Two texts that are near each other
+    but not to the centre are compared in one of their other common variants.
     """
-    members = saved(met(unique), "neardup-met")
-    pairs = members.filter("before is not null").select(
-        F.col("before").alias("a"), F.col("n").alias("b")
-    )
-    tested = saved(pairs.distinct(), "neardup-pairs")
-    links = similar(tested, unique, texts)
-    roots = components(links, "neardup-classes")
-    crowded = members.filter("before is not null and after is not null").select("variant").distinct()
-    placed = (
-        members.join(crowded, "variant", "left_semi")
-        .join(roots.withColumnRenamed("node", "n"), "n", "left")
-        .select("variant", "n", F.coalesce("root", "n").alias("root"))
-    )
-    placed = saved(placed, "neardup-placed")
-    largest = (
-        placed.groupBy("variant", "root")
-        .agg(F.count("*").alias("size"))
+    often = members.groupBy("n").agg(F.count("*").alias("often"))
+    rank = F.struct("often", (-F.col("n")).alias("minus"))
+    centres = (
+        members.join(often, "n")
         .groupBy("variant")
-        .agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots"))
-        .filter("roots > 1")
+        .agg(F.max(rank).alias("first"))
+        .select("variant", (-F.col("first.minus")).alias("centre"))
     )
-    mixed = placed.join(largest, "variant")
-    outside = mixed.filter("root <> main").select("variant", F.col("n").alias("x"), F.col("root").alias("own"))
-    rest = (
-        outside.join(mixed.select("variant", "n", "root"), "variant")
-        .filter("own <> root")
-        .select(F.least("x", "n").alias("a"), F.greatest("x", "n").alias("b"))
+    return (
+        members.join(centres, "variant")
+        .filter("n <> centre")
+        .select(F.least("n", "centre").alias("a"), F.greatest("n", "centre").alias("b"))
         .distinct()
-        .join(tested, ["a", "b"], "left_anti")
     )
-    more = similar(saved(rest, "neardup-rest"), unique, texts)
-    return components(links.union(more), "neardup-classes").select(F.col("node").alias("n"), "root")
+
+
+def classes(unique: DataFrame, texts: DataFrame) -> DataFrame:
+    """`(n, root)` of the texts that have a near duplicate."""
+    members = saved(met(unique), "neardup-met")
+    links = similar(saved(candidates(members), "neardup-pairs"), unique, texts)
+    return components(links, "neardup-classes").select(F.col("node").alias("n"), "root")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

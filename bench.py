@@ -22,7 +22,10 @@ HEADLINE = (
     "text_clean",
     "prompt_build",
     "request_rows",
+    "chosen_text",
     "doc_reply",
+    "document_result",
+    "processing_log",
     "upload_verdict",
     "reply_gate",
     "parse_invoice",
@@ -32,6 +35,7 @@ HEADLINE = (
     "ledger_stats",
     "ledger_page",
     "invoice_detail",
+    "invoice_nested",
     "lookup_found",
     "totals",
     "check_arithmetic",
@@ -42,6 +46,7 @@ HEADLINE = (
     "job_results",
     "report_rows",
     "invoice_overview",
+    "stream_ledger",
 )
 
 

@@ -15,7 +15,8 @@ from ledgerloom.llm.common import read, saved
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the toxicity score does not reject."""
-    return toxicity.keep_clean(docs, read(spark, sf_dir, "labels"))
+    labels = read(spark, sf_dir, "labels")
+    return toxicity.keep_clean(docs, labels.filter(~toxicity.held_out()))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

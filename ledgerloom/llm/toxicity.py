@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
@@ -172,27 +173,49 @@ def decode(word: str, costs: np.ndarray, spaced: bool = False) -> str:
 
 
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*][^\W_]){2,}(?![^\W_])")
+_MARKS = string.punctuation
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 
 
-@dataclass
+class Memory(dict):
+    """Answers of a function; forgets those that were not asked for in a while.
+
+    Holds at most two times `_SEEN` answers.
+    """
+
+    def __init__(self, find):
+        self.find, self.old = find, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.find(key)
+        if len(self) >= _SEEN:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Restorer:
     """Restores words with a language model; remembers a bounded number of them."""
 
-    costs: np.ndarray
-    seen: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    def __init__(self, costs: np.ndarray):
+        self.costs = costs
+        self.seen = Memory(self.read)
 
     def word(self, raw: str) -> tuple[str, ...]:
         """The words that a run of non-blank characters, in lower case, stands for."""
-        found = self.seen.get(raw)
-        if found is None:
-            if len(self.seen) >= _SEEN:
-                self.seen.clear()
-            found = self.seen[raw] = tuple(self._read(raw))
-        return found
+        return self.seen[raw]
+
+    def read(self, raw: str) -> tuple[str, ...]:
+        return tuple(self._read(raw))
 
     def _read(self, raw: str) -> Iterable[str]:
+        word = raw.strip(_MARKS)
+        if word.isalpha() and not _RUN.search(word):
+            return [word]
         word = _EDGES.sub("", raw)
         if not word:
             return []
@@ -211,14 +234,16 @@ class Restorer:
         lower = text.lower()
         total: Counter = Counter()
         for raw, n in Counter(lower.split()).items():
-            for word in self.word(raw):
+            for word in self.seen[raw]:
                 total[word] += n
-        for spaced in _SPACED.finditer(lower):
-            letters = spaced.group()[::2]
-            for word in decode(letters, self.costs, spaced=True).split():
-                total[word] += 1
+        total.update(self.spaced(lower))
         return total
 
+    def spaced(self, lower: str) -> Iterator[str]:
+        """Words that are written with a blank or mark between their letters."""
+        for found in _SPACED.finditer(lower):
+            yield from decode(found.group()[::2], self.costs, spaced=True).split()
+
 
 def features_of(word: str) -> list[str]:
     """A word and its beginnings."""
@@ -234,21 +259,38 @@ class Model:
     length_weight: float
     bias: float
 
-    def score(self, words: Counter, cache: dict[str, tuple]) -> float:
-        """Chance that a text of these words is toxic."""
+
+class Scorer:
+    """Scores texts by a model; remembers what runs of characters come to."""
+
+    def __init__(self, model: Model):
+        self.model, self.restorer = model, Restorer(model.costs)
+        self.heads = {feature[1 : 1 + PREFIXES[0]] for feature in model.weights}
+        self.seen = Memory(lambda raw: self.worth(self.restorer.read(raw)))
+
+    def worth(self, words: Iterable[str]) -> tuple[int, tuple[str, ...]]:
+        """The number of words and those of their features that have a weight."""
+        words, known = list(words), self.model.weights
+        able = [w for w in words if w[: PREFIXES[0]] in self.heads]
+        return len(words), tuple(f for w in able for f in features_of(w) if f in known)
+
+    def score(self, text: str) -> float:
+        """Chance that a text is toxic."""
+        lower = text.lower()
         counts: dict[str, int] = {}
         total = 0
-        for word, n in words.items():
-            total += n
-            own = cache.get(word)
-            if own is None:
-                if len(cache) >= _SEEN:
-                    cache.clear()
-                own = cache[word] = tuple(f for f in features_of(word) if f in self.weights)
+        for raw, n in Counter(lower.split()).items():
+            words, own = self.seen[raw]
+            total += words * n
             for feature in own:
                 counts[feature] = counts.get(feature, 0) + n
-        value = self.bias + self.length_weight * math.log1p(total)
-        value += sum(self.weights[f] * math.log1p(n) for f, n in sorted(counts.items()))
+        words, own = self.worth(self.restorer.spaced(lower))
+        total += words
+        for feature in own:
+            counts[feature] = counts.get(feature, 0) + 1
+        model = self.model
+        value = model.bias + model.length_weight * math.log1p(total)
+        value += sum(model.weights[f] * math.log1p(n) for f, n in sorted(counts.items()))
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, value))))
 
 
@@ -381,15 +423,19 @@ def scores(docs: DataFrame, model: Model, text: str | Column = "text") -> Column
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         if not held:
-            held.extend((Restorer(shared.value.costs), {}))
-        restorer, cache = held
-        found = [shared.value.score(restorer.words(t.as_py()), cache) for t in texts]
+            held.append(Scorer(shared.value))
+        found = [held[0].score(t.as_py()) for t in texts]
         release()
         return pa.array(found, pa.float64())
 
     return score(text_of(text))
 
 
+def held_out(id_column: str = "doc_id") -> Column:
+    """Whether the labels of a row are kept out of the training, by its id alone."""
+    return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 4 == 2, F.lit(False))
+
+
 def scored(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -399,7 +445,7 @@ def scored(
     Rows without an id are not held out and train nothing.  Repeated rows get a row
     each.  An empty table gives an empty result.
     """
-    out = F.coalesce(F.crc32(F.col(id_column).cast("string")) % 4 == 2, F.lit(False))
+    out = held_out(id_column)
     model = train(docs, labels.filter(~out), id_column, text)
     return docs.select(
         F.col(id_column).alias("doc_id"), out.alias("held_out"), scores(docs, model, text).alias("score")

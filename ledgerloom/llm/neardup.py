@@ -35,6 +35,8 @@ WIDE_SHINGLE, SECTIONS, SECTION_BITS, RADIUS = 2, 8, 32, 2
 #: Most of the bits of the wide fingerprint in which candidates differ.  Texts of 0.8
 #: similarity differ in a tenth of them; a quarter is eight standard deviations off.
 WIDE_PART = 0.25
+#: Members of a variant in a block of the second comparison.
+BLOCK = 256
 _CHUNK = 1 << 15
 _TASK = 1 << 33
 
@@ -131,6 +133,20 @@ def met(unique: DataFrame) -> DataFrame:
     )
 
 
+def _apart() -> Column:
+    """Bits in which the wide fingerprints of a pair differ."""
+    return F.aggregate(
+        F.zip_with("a_sections", "b_sections", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.lit(0),
+        lambda sum_, x: sum_ + x,
+    )
+
+
+def _linked() -> Column:
+    """Whether the 64-bit fingerprints of a pair link."""
+    return F.bit_count(F.col("a_fingerprint").bitwiseXOR(F.col("b_fingerprint"))) <= simhash.RADIUS
+
+
 def similar(pairs: DataFrame, unique: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs `(a, b)` of numbers that are near duplicates.
 
@@ -142,14 +158,9 @@ def similar(pairs: DataFrame, unique: DataFrame, texts: DataFrame) -> DataFrame:
     both = (
         pairs.join(_named(known, "a"), "a").join(_named(known, "b"), "b")
     )
-    apart = F.aggregate(
-        F.zip_with("a_sections", "b_sections", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-        F.lit(0),
-        lambda sum_, x: sum_ + x,
-    )
-    linked = F.bit_count(F.col("a_fingerprint").bitwiseXOR(F.col("b_fingerprint"))) <= simhash.RADIUS
+    linked = _linked()
     judged = saved(
-        both.filter(linked | (apart <= WIDE_PART * SECTIONS * SECTION_BITS)).select(
+        both.filter(linked | (_apart() <= WIDE_PART * SECTIONS * SECTION_BITS)).select(
             "a", "b", linked.alias("linked")
         ),
         "neardup-candidates",
@@ -180,35 +191,106 @@ def _named(rows: DataFrame, side: str) -> DataFrame:
     )
 
 
-def candidates(members: DataFrame) -> DataFrame:
-    """`(a, b)`: each member of a variant with the variant's centre, every pair once.
-
-    The centre is the member that meets others most often (ties: the least number),
-    which is the text that the others are copies of.  A variant of very many members
-    so gives one pair a member and not all pairs.  Two texts that are near each other
-    but not to the centre are compared in one of their other common variants.
-    """
+def centres(members: DataFrame) -> DataFrame:
+    """`(variant, centre)`: the member that meets others most often (ties: the least number)."""
     often = members.groupBy("n").agg(F.count("*").alias("often"))
     rank = F.struct("often", (-F.col("n")).alias("minus"))
-    centres = (
+    return (
         members.join(often, "n")
         .groupBy("variant")
         .agg(F.max(rank).alias("first"))
         .select("variant", (-F.col("first.minus")).alias("centre"))
     )
+
+
+def candidates(others: DataFrame) -> DataFrame:
+    """`(a, b)`: each of the `others` of a variant with the variant's centre, every pair once.
+
+    The centre is mostly the text that the others are copies of.  A variant of very
+    many members so gives one pair a member and not all pairs.
+    """
+    return others.select(
+        F.least("n", "centre").alias("a"), F.greatest("n", "centre").alias("b")
+    ).distinct()
+
+
+def apart_still(others: DataFrame, roots: DataFrame, unique: DataFrame, block: int = BLOCK) -> DataFrame:
+    """`(a, b)`: pairs of a variant, without its centre, that are in two classes.
+
+    In each variant all members outside of the largest class meet all members of
+    other classes; pairs within the largest class need no comparison.  Both sides
+    are dealt into blocks of some `block` members, and each pair of blocks is a group
+    of its own, so that no task holds a variant.  The condition on the fingerprints
+    is that of `similar`, so that what it drops is not written.
+    """
+    several = others.groupBy("variant").agg(F.count("*").alias("size")).filter("size > 1")
+    placed = (
+        others.join(several.select("variant"), "variant", "left_semi")
+        .join(roots, "n", "left")
+        .select("variant", "n", F.coalesce("root", "n").alias("root"))
+    )
+    placed = saved(placed, "neardup-placed")
+    blocks = lambda size: F.ceil(F.col(size) / F.lit(block)).cast("int")
+    mixed = (
+        placed.groupBy("variant", "root")
+        .agg(F.count("*").alias("size"))
+        .groupBy("variant")
+        .agg(
+            F.max_by("root", F.struct("size", "root")).alias("main"),
+            F.max("size").alias("within"),
+            F.sum("size").alias("size"),
+        )
+        .withColumn("outside", F.col("size") - F.col("within"))
+        .filter("outside > 0")
+        .select("variant", "main", blocks("outside").alias("lefts"), blocks("size").alias("rights"))
+    )
+    known = unique.select("n", "fingerprint", "sections")
+    open_ = saved(placed.join(mixed, "variant").join(known, "n"), "neardup-open")
+    of = lambda count: F.pmod(F.xxhash64("n"), F.col(count)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    names = ("n", "root", "fingerprint", "sections")
+    left = open_.filter("root <> main").select(
+        "variant", of("lefts").alias("i"), each("rights").alias("j"), *[F.col(c).alias(f"a_{c}") for c in names]
+    )
+    right = open_.select(
+        "variant", "main", of("rights").alias("j"), each("lefts").alias("i"), *[F.col(c).alias(f"b_{c}") for c in names]
+    )
+    # Two members outside of the largest class would meet twice.
+    once = (F.col("b_root") == F.col("main")) | (F.col("a_n") < F.col("b_n"))
+    close = _linked() | (_apart() <= WIDE_PART * SECTIONS * SECTION_BITS)
+    on = (
+        (left["variant"] == right["variant"])
+        & (left["i"] == right["i"])
+        & (left["j"] == right["j"])
+        & (F.col("a_root") != F.col("b_root"))
+        & once
+        & close
+    )
     return (
-        members.join(centres, "variant")
-        .filter("n <> centre")
-        .select(F.least("n", "centre").alias("a"), F.greatest("n", "centre").alias("b"))
+        left.join(right, on)
+        .select(F.least("a_n", "b_n").alias("a"), F.greatest("a_n", "b_n").alias("b"))
         .distinct()
     )
 
 
 def classes(unique: DataFrame, texts: DataFrame) -> DataFrame:
-    """`(n, root)` of the texts that have a near duplicate."""
+    """`(n, root)` of the texts that have a near duplicate.
+
+    First every member of a variant is compared with the variant's centre.  Then, where
+    the members of a variant are still in several classes, all members outside of the
+    largest class are compared with all of other classes: no pair that meets is left
+    out, but for those that are in one class already.
+    """
     members = saved(met(unique), "neardup-met")
-    links = similar(saved(candidates(members), "neardup-pairs"), unique, texts)
-    return components(links, "neardup-classes").select(F.col("node").alias("n"), "root")
+    others = saved(
+        members.join(centres(members), "variant").filter("n <> centre"), "neardup-others"
+    )
+    tested = saved(candidates(others), "neardup-pairs")
+    links = similar(tested, unique, texts)
+    roots = components(links, "neardup-classes").select(F.col("node").alias("n"), "root")
+    rest = apart_still(others, roots, unique).join(tested, ["a", "b"], "left_anti")
+    more = similar(saved(rest, "neardup-rest"), unique, texts)
+    return components(links.union(more), "neardup-classes").select(F.col("node").alias("n"), "root")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -104,3 +104,49 @@ def test_recall_of_pairs_at_the_limit():
         apart = np.bitwise_count(neardup.wide(a.encode()) ^ neardup.wide(b.encode()))
         hit += near(a, b) and apart.min() <= neardup.RADIUS
     assert hit / total >= 0.9
+
+
+def without_original(count):
+    """Near copies of one text that is not in the table: near 0.8 to each other."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    return [" ".join(changed(rng, base, 4)) for _ in range(count)]
+
+
+def test_large_group_without_its_original(spark):
+    """Against all pairs that meet, by union-find; the comparison with a centre alone leaves more."""
+    texts = without_original(120)
+    sets = [shingles(t) for t in texts]
+    wide = [neardup.wide(t.encode()) for t in texts]
+    prints = [simhash.fingerprint(t.encode()) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            meet = np.bitwise_count(wide[i] ^ wide[j]).min() <= neardup.RADIUS
+            shared = len(sets[i] & sets[j])
+            alike = shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared)
+            if (prints[i] ^ prints[j]).bit_count() <= 2 or meet and alike:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    wanted = {i for i in range(len(texts)) if root(i) == i}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    assert {r["doc_id"] for r in neardup.keep_one(docs).collect()} == wanted
+
+
+def test_blocks_of_a_variant_meet_all_pairs_of_two_classes(spark):
+    others = spark.createDataFrame(
+        [(7, n) for n in range(40)] + [(8, 3), (8, 50), (9, 60)], "variant long, n long"
+    )
+    roots = spark.createDataFrame([(n, 0) for n in range(10)], "n long, root long")
+    same = [0] * neardup.SECTIONS
+    unique = spark.createDataFrame(
+        [(n, 0, same) for n in range(70)], "n long, fingerprint long, sections array<long>"
+    )
+    pairs = [tuple(r) for r in neardup.apart_still(others, roots, unique, block=6).collect()]
+    wanted = {(a, b) for b in range(10, 40) for a in range(b)} | {(3, 50)}
+    assert len(pairs) == len(wanted) and set(pairs) == wanted

@@ -26,12 +26,12 @@ from ledgerloom.llm.graphs import components
 #: Words of a shingle and least similarity (Jaccard) of near duplicates.
 SHINGLE, SIMILARITY = 5, 0.8
 #: Words of a shingle of the wide fingerprint, its sections, bits of a section, radius.
-#: Texts of 0.8 similarity differ in some 0.1 to 0.12 of the bits, so that of eight
-#: sections one at least is within the radius for 90 to 97 of 100 such pairs.  Of
-#: other pairs one in 8 million meets in a section.  With shorter sections these
-#: meetings, which grow with the square of the texts, outnumber the texts sooner; for
-#: more than some 10**9 texts take longer and more sections.
-WIDE_SHINGLE, SECTIONS, SECTION_BITS, RADIUS = 2, 8, 32, 2
+#: Texts of 0.8 similarity whose changes are scattered differ in some 0.1 to 0.12 of the
+#: bits, so that of twelve sections one at least is within the radius for 99 of 100 such
+#: pairs; where one passage differs it is 0.15 of the bits, and 91 of 100.  Of other pairs
+#: one in 55,000 meets in a section.  These meetings grow with the square of the texts;
+#: for more than some 10**9 texts take longer and more sections.
+WIDE_SHINGLE, SECTIONS, SECTION_BITS, RADIUS = 2, 12, 28, 2
 #: Most of the bits of the wide fingerprint in which candidates differ.  Texts of 0.8
 #: similarity differ in a tenth of them; a quarter is eight standard deviations off.
 WIDE_PART = 0.25

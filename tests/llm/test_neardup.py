@@ -150,3 +150,30 @@ def test_blocks_of_a_variant_meet_all_pairs_of_two_classes(spark):
     pairs = [tuple(r) for r in neardup.apart_still(others, roots, unique, block=6).collect()]
     wanted = {(a, b) for b in range(10, 40) for a in range(b)} | {(3, 50)}
     assert len(pairs) == len(wanted) and set(pairs) == wanted
+
+
+def test_recall_of_links_at_the_limit():
+    """Of scattered changes and of one changed passage, pairs that the links find among those near 0.8."""
+    rng = random.Random(5)
+    for least, pairs in ((0.99, scattered), (0.92, passage)):
+        hit = total = 0
+        while total < 300:
+            a, b = pairs(rng)
+            if not 0.8 <= similarity(a, b) < 0.83:
+                continue
+            total += 1
+            apart = np.bitwise_count(neardup.wide(a.encode()) ^ neardup.wide(b.encode()))
+            bits = neardup.SECTIONS * neardup.SECTION_BITS
+            hit += apart.min() <= neardup.RADIUS and apart.sum() <= neardup.WIDE_PART * bits
+        assert hit / total >= least, (hit, total)
+
+
+def scattered(rng):
+    base = [f"w{rng.randrange(400)}" for _ in range(300)]
+    return " ".join(base), " ".join(changed(rng, base, 6))
+
+
+def passage(rng):
+    base = [f"w{rng.randrange(400)}" for _ in range(300)]
+    more = [f"v{rng.randrange(10**6)}" for _ in range(70)]
+    return " ".join(base), " ".join(base + more)

@@ -56,8 +56,11 @@ def hashes(text: bytes, size: int) -> np.ndarray:
 
 
 def wide(text: bytes, sections: int = SECTIONS, width: int = SECTION_BITS) -> np.ndarray:
-    """A SimHash of `sections` numbers of `width` bits over the word pairs of a text."""
-    found = hashes(text, WIDE_SHINGLE)
+    """A SimHash of `sections` numbers of `width` bits over the distinct word pairs of a text.
+
+    Repeats do not count, as they do not in the similarity that decides.
+    """
+    found = np.unique(hashes(text, WIDE_SHINGLE))
     words = -(-sections * width // 64)
     ones = np.zeros(64 * words, np.int64)
     salts = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)

@@ -177,3 +177,12 @@ def passage(rng):
     base = [f"w{rng.randrange(400)}" for _ in range(300)]
     more = [f"v{rng.randrange(10**6)}" for _ in range(70)]
     return " ".join(base), " ".join(base + more)
+
+
+def test_repeated_lines_are_near(spark):
+    rng = random.Random(6)
+    lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(9)]
+    once, often = "\n".join(lines), "\n".join([*lines, *[lines[0]] * 60])
+    assert similarity(once, often) >= 0.8
+    rows = [(1, once), (2, often), (3, " ".join(f"v{i}" for i in range(200)))]
+    assert kept(spark.createDataFrame(rows, "doc_id long, text string")) == expected(rows) == [(False, 1), (False, 3)]

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import free_name, row_key, saved, split_mix, text_of
@@ -135,11 +135,9 @@ def tiles(pairs: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]
     """Greedy tiling of one document and item: `(words, document place, item place)`.
 
     `pairs` are the places of equal runs of `size` words.  Runs along a diagonal are
-    maximal matches.  The longest goes first (ties: first in the document, then in
-    the item); what earlier tiles cover is cut off, and rests of `size` words or more
-    wait for their turn.
+    maximal matches; `tiles_of_runs` has the rest.
     """
-    queue = []
+    runs = []
     diagonals: dict[int, list[int]] = {}
     for a, b in set(pairs):
         diagonals.setdefault(a - b, []).append(a)
@@ -148,9 +146,20 @@ def tiles(pairs: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]
         first = last = places[0]
         for place in [*places[1:], None]:
             if place is None or place != last + 1:
-                queue.append((-(last - first + size), first, first - shift))
+                runs.append((last - first + size, first, first - shift))
                 first = place
             last = place
+    return tiles_of_runs(runs, size)
+
+
+def tiles_of_runs(runs: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling from maximal matches: `(words, document place, item place)`.
+
+    The longest goes first (ties: first in the document, then in the item); what
+    earlier tiles cover is cut off, and rests of `size` words or more wait for their
+    turn.
+    """
+    queue = [(-words, a, b) for words, a, b in runs]
     heapq.heapify(queue)
     used_a: set[int] = set()
     used_b: set[int] = set()
@@ -175,6 +184,28 @@ def tiles(pairs: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]
     return found
 
 
+def seed_runs(joined: DataFrame, size: int) -> DataFrame:
+    """Maximal matches `(key, item_id, item_words, doc_id, words, place, at)` of seeds.
+
+    Seeds on a diagonal whose places follow each other are one run, so that a run that
+    both sides repeat gives a row per diagonal and not one per pair of places.  Rows
+    that repeat a seed's places count once.
+    """
+    pair = ("key", "item_id", "item_words")
+    shifted = joined.withColumn("shift", F.col("place") - F.col("at"))
+    along = Window.partitionBy(*pair, "shift").orderBy("place")
+    return (
+        shifted.withColumn("run", F.col("place") - F.dense_rank().over(along))
+        .groupBy(*pair, "shift", "run")
+        .agg(
+            F.first("doc_id").alias("doc_id"),
+            (F.max("place") - F.min("place") + size).cast("int").alias("words"),
+            F.min("place").alias("place"),
+            F.min("at").alias("at"),
+        )
+    )
+
+
 def matches(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -229,23 +260,27 @@ def matches(
     hits = rows.mapInArrow(seeded, kind)
 
     @F.arrow_udf("array<struct<words:int,place:int,at:int>>")
-    def tiled(pairs: pa.Array) -> pa.Array:
+    def tiled(runs: pa.Array) -> pa.Array:
         return pa.array(
             [
                 [
                     {"words": w, "place": a, "at": b}
-                    for w, a, b in tiles([(p["place"], p["at"]) for p in own], min_match)
+                    for w, a, b in tiles_of_runs([(r["words"], r["place"], r["at"]) for r in own], min_match)
                 ]
-                for own in (x.as_py() for x in pairs)
+                for own in (x.as_py() for x in runs)
             ],
             pa.list_(pa.struct([("words", pa.int32()), ("place", pa.int32()), ("at", pa.int32())])),
         )
 
-    joined = hits.join(seeds, "seed")
-    grouped = joined.groupBy("key", "item_id", "item_words").agg(
-        F.first("doc_id").alias("doc_id"), F.collect_set(F.struct("place", "at")).alias("pairs")
+    grouped = (
+        seed_runs(hits.join(seeds, "seed"), min_match)
+        .groupBy("key", "item_id", "item_words")
+        .agg(
+            F.first("doc_id").alias("doc_id"),
+            F.collect_list(F.struct("words", "place", "at")).alias("runs"),
+        )
     )
-    found = grouped.withColumn("tiles", tiled("pairs")).withColumn(
+    found = grouped.withColumn("tiles", tiled("runs")).withColumn(
         "covered", F.aggregate("tiles", F.lit(0), lambda sum_, tile: sum_ + tile["words"])
     )
     return found.withColumn("coverage", F.col("covered") / F.col("item_words")).filter(

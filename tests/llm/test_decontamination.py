@@ -111,3 +111,23 @@ def test_hostile_and_empty_tables(spark, hostile, empty):
     assert d.matches(empty, items).count() == 0
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.matches(hostile, none).count() == 0
+
+
+def test_seeds_are_runs_before_they_are_grouped(spark):
+    """What both sides repeat gives a row per diagonal; gaps and repeated rows are seen."""
+    pairs = {(a, b) for a in range(60) for b in range(40)} | {(100, 3), (101, 4), (103, 6)}
+    rows = [("k", 1, a, "i", 44, b) for a, b in pairs] * 2
+    joined = spark.createDataFrame(
+        rows, "key string, doc_id long, place int, item_id string, item_words long, at int"
+    ).repartition(4)
+    runs = [(r["words"], r["place"], r["at"]) for r in d.seed_runs(joined, 5).collect()]
+    assert len(runs) == 60 + 40 - 1 + 2
+    assert {(6, 100, 3), (5, 103, 6), (44, 0, 0), (44, 20, 0), (5, 59, 0)} <= set(runs)
+    assert sorted(d.tiles_of_runs(runs, 5)) == sorted(d.tiles(list(pairs), 5))
+
+
+def test_document_and_item_that_repeat_a_word(spark):
+    docs = spark.createDataFrame([(1, "ha " * 3000), (2, "other words only here and there")], "doc_id long, text string")
+    items = spark.createDataFrame([("i", "ha " * 400)], "item_id string, text string")
+    rows = d.matches(docs, items).collect()
+    assert [(r["doc_id"], r["covered"], r["tiles"][0]["words"]) for r in rows] == [(1, 400, 400)]

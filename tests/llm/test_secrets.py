@@ -76,3 +76,18 @@ def test_redaction(hostile):
         assert r["text"] is None or r["n_chars"] == len(r["text"])
     overlap = "token=" + "ab12" * 10
     assert secrets.without(overlap, secrets.find(overlap, TOKENS), "#") == "#"
+
+
+def test_random_letters_are_told_from_words():
+    rng = random.Random(2)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    for letters, least in ((lower + lower.upper(), 0.98), (lower, 0.9), (lower.upper(), 0.9)):
+        drawn = ["".join(rng.choice(letters) for _ in range(rng.randrange(20, 60))) for _ in range(300)]
+        assert sum(secrets.is_random(s, TOKENS) for s in drawn) / 300 > least
+    plain = [
+        "getUserAccountNameFromSession", "src/app/lib/foo/bar/baz", "a/b/c/d/e/f/g/h/i/j/k/l", "-" * 30,
+        "INTERNATIONALIZATION_CONFIG_PATH", "Donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement",
+        "keitstlichschenverpf", "XMLHttpRequestEventTarget", "hahahahahahahahahahaha", "to-be-or-not-to-be-that-is",
+    ]
+    assert [s for s in plain if secrets.is_random(s, TOKENS)] == []
+    assert secrets.find("key is qXzLmPvRtKwYbNcJhGdFs now", TOKENS) == [("random", 7, 28)]

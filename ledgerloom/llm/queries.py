@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
     decontamination,
+    exactdedup,
     fixity,
+    lexical,
     lines,
     mixing,
     pii,
@@ -18,6 +20,7 @@ from ledgerloom.llm import (
     tokens,
     toxicity,
     urls,
+    vectorcodes,
 )
 from ledgerloom.llm.common import read
 
@@ -88,6 +91,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read(spark, sf_dir, "documents"))
 
 
+def op11_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of each document, of which the greatest id stays."""
+    return exactdedup.duplicates(read(spark, sf_dir, "documents"), largest=True)
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents of each benchmark item."""
+    index = lexical.index(read(spark, sf_dir, "documents"))
+    return lexical.search(index, read(spark, sf_dir, "benchmark"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of each vector."""
+    return vectorcodes.encoded(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -99,6 +118,9 @@ QUERIES: dict[str, Query] = {
     "op8_urls": op8_urls,
     "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
+    "op11_dedup": op11_dedup,
+    "op12_search": op12_search,
+    "op13_codes": op13_codes,
 }
 _BLANK = r"\x20\x09-\x0D"
 OP6_SQL = rf"""
@@ -149,6 +171,115 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from facts
 """
 
+OP11_SQL = """
+with d as (select doc_id, coalesce(text, '') as t from documents)
+select doc_id, max(doc_id) over (partition by t) as keep_id,
+  count(*) over (partition by t) as group_size,
+  row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept,
+  sha256(t) as text_sha256
+from d
+"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERMS = (
+    r"regexp_extract_all(translate(text, '%s', '%s'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    % (_UPPER, _LOWER)
+)
+OP12_SQL = f"""
+with d as (
+  select row_number() over () as rid, doc_id, {_TERMS} as terms from documents
+), q as (
+  select row_number() over () as qid, item_id, {_TERMS} as terms from benchmark
+), facts as (
+  select count(*) as documents, sum(len(terms))::bigint as words from d where len(terms) > 0
+), wanted as (
+  select distinct qid, item_id, unnest(terms) as term from q
+), tf as (
+  select rid, term, count(*) as tf from (select rid, unnest(terms) as term from d) as x
+  where term in (select term from wanted) group by rid, term
+), weights as (
+  select term,
+    floor(1000 * ln((2 * documents + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from tf, facts group by term, documents
+), impacts as (
+  select tf.rid, d.doc_id, term,
+    (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(d.terms) * documents) // words)) as x
+  from tf join d on d.rid = tf.rid, facts
+), scores as (
+  select qid, item_id, rid, doc_id, sum(w * x)::bigint as score
+  from wanted join weights using (term) join impacts using (term)
+  group by qid, item_id, rid, doc_id
+), ranked as (
+  select item_id, doc_id, score,
+    row_number() over (partition by qid order by score desc, doc_id nulls last) as rank
+  from scores where score > 0
+)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= {lexical.RANKS}
+"""
+
+
+def _op13_sql() -> str:
+    """Rounds written out: distances to each entry, the nearest, means rounded down."""
+    parts, entries = vectorcodes.PARTS, vectorcodes.ENTRIES
+    steps = [
+        f"""kept as (
+  select row_number() over (order by vec_id nulls last, embedding) as rid, vec_id, label, embedding
+  from embeddings
+  where embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), cells as materialized (
+  select rid, (p - 1) // (n // {parts}) as part, (p - 1) % (n // {parts}) as i,
+    floor({vectorcodes.SCALE}::double * x)::bigint as x
+  from (select rid, len(embedding) as n, unnest(embedding) as x,
+    generate_subscripts(embedding, 1) as p from kept) as t
+), b0 as materialized (
+  select part, rid - 1 as entry, i, x from cells where rid <= {entries}
+)"""
+    ]
+    for turn in range(vectorcodes.ROUNDS + 1):
+        steps.append(
+            f"""a{turn} as materialized (
+  select rid, part, min_by(entry, distance * {entries} + entry) as entry, min(distance) as distance
+  from (
+    select rid, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x))::bigint as distance
+    from cells c join b{turn} b on b.part = c.part and b.i = c.i group by rid, c.part, b.entry) as t
+  group by rid, part
+)"""
+        )
+        if turn < vectorcodes.ROUNDS:
+            steps.append(
+                f"""m{turn} as (
+  select part, entry, i, sum(x)::bigint as s, count(*) as n
+  from cells join a{turn} using (rid, part) group by part, entry, i
+), b{turn + 1} as materialized (
+  select part, entry, i, case when n is null then x else (s - ((s % n) + n) % n) // n end as x
+  from b{turn} left join m{turn} using (part, entry, i)
+)"""
+            )
+    last = vectorcodes.ROUNDS
+    return (
+        "with "
+        + ", ".join(steps)
+        + f""", coded as (
+  select rid, string_agg(printf('%02x', entry), '' order by part) as code,
+    sum(distance)::bigint as error
+  from a{last} group by rid
+)
+select vec_id, code, error,
+  sum(error) over (partition by label)::bigint as label_error,
+  (select sha256(string_agg(x::varchar, ',' order by part, entry, i)) from b{last}) as codebooks_sha256
+from kept join coded using (rid)
+"""
+    )
+
+
+OP13_SQL = _op13_sql()
+
 #: The other queries hash by XXH64, score by trained models, draw by seed or need
 #: places of matches, which DuckDB cannot restate; tests/llm has brute force for them.
-ORACLES: dict[str, str] = {"op6_lines": OP6_SQL}
+ORACLES: dict[str, str] = {
+    "op6_lines": OP6_SQL,
+    "op11_dedup": OP11_SQL,
+    "op12_search": OP12_SQL,
+    "op13_codes": OP13_SQL,
+}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Written tables of the blocks of `scratch` that are open, inner ones last.
+_OPEN: list[list[str]] = []
+
+
 def saved(rows: DataFrame, name: str, **options: str) -> DataFrame:
     """Write rows to the shared folder and read them back.
 
@@ -27,10 +33,30 @@ def saved(rows: DataFrame, name: str, **options: str) -> DataFrame:
     """
     spark = rows.sparkSession
     path = fresh_path(spark, name)
+    if _OPEN:
+        _OPEN[-1].append(path)
     rows.write.options(**options).parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that `saved` writes inside of the block when it ends.
+
+    What is needed of them must have been written elsewhere by then.
+    """
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.pop()
+        jvm, configuration = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in made:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(configuration).delete(place, True)
+
+
 def text_of(column: str | Column) -> Column:
     """A text column with nulls as empty texts."""
     column = F.col(column) if isinstance(column, str) else column

@@ -140,3 +140,41 @@ def near_duplicates(
         F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+def keep_one(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS
+) -> DataFrame:
+    """The rows of `docs`, one of each class, with all their columns.
+
+    The row with the least id stays; rows without an id come last, and of rows that agree
+    in id exactly one stays.  Texts without words, null among them, share a fingerprint and
+    so a class.  An empty table gives an empty result.
+
+    Rows are written once with a number and their fingerprint.  Fingerprints are reduced to
+    distinct ones before anything is grouped, so a large group of copies is one node.
+    """
+    number, bits = free_name(docs, "row_number"), free_name(docs, "row_fingerprint")
+    rows = saved(
+        docs.withColumns({number: F.monotonically_increasing_id(), bits: fingerprints(docs, f"`{text}`")}),
+        "simhash-docs",
+        compression="zstd",
+    )
+    first = F.struct(
+        F.col(f"`{id_column}`").isNull().alias("unnamed"),
+        F.col(f"`{id_column}`").alias("id"),
+        F.col(number).alias("number"),
+    )
+    prints = saved(
+        rows.groupBy(F.col(bits).alias("fingerprint")).agg(F.min(first).alias("first")), "simhash-prints"
+    )
+    grouped = classes(prints.select("fingerprint"), radius)
+    stays = (
+        grouped.join(prints, "fingerprint")
+        .groupBy("root")
+        .agg(F.min("first").alias("first"))
+        .select(F.col("first.number").alias(number))
+    )
+    return rows.join(saved(stays, "simhash-stays"), number, "left_semi").select(
+        *[F.col(f"`{name}`") for name in docs.columns]
+    )

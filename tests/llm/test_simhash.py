@@ -97,3 +97,31 @@ def test_components_of_chains_and_stars(spark):
     assert {found[i] for i in range(100, 181)} == {100}
     assert {found[i] for i in range(300, 500)} == {7} and found[9] == 9
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def check_kept(docs):
+    texts = [(r["doc_id"], plain(r["text"])) for r in docs.select("doc_id", "text").collect()]
+    comp, least = expected([(n, f) for n, (_, f) in enumerate(texts)]), {}
+    for i, f in texts:
+        key = (i is None, i or 0)
+        least[comp[f]] = min(least.get(comp[f], key), key)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()]
+    assert sorted(got) == sorted(least.values())
+
+
+def test_one_row_of_each_class_stays(hostile, documents):
+    check_kept(hostile)
+    check_kept(documents)
+
+
+def test_copies_without_an_id_and_repeated_rows_leave_one(spark):
+    rows = [(None, "some text that is here", 1)] * 5 + [(4, "another one of some words", 2)] * 3 + [(9, None, 3), (8, "", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_number int").repartition(4)
+    check_kept(docs)
+    assert simhash.keep_one(docs).count() == 3
+
+
+def test_nothing_to_keep(empty):
+    assert simhash.keep_one(empty).count() == 0

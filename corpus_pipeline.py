@@ -3,14 +3,21 @@
 Toxic documents go, one document of each near-duplicate class stays, documents that
 hold benchmark items go, secrets are replaced by a mark, and what is left is mixed to
 target weights into training blocks.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, extra
+columns and empty tables.  A null or empty text has no word that is scored, shares the
+fingerprint of all such texts (one row of them stays), holds no item and no secret, and
+gives the mix nothing.  A null id comes last where the least id stays.  An empty table
+goes through all stages as an empty table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontamination, mixing, neardup, secrets, toxicity
-from ledgerloom.llm.common import read, saved
+from ledgerloom.llm import decontamination, mixing, secrets, simhash, toxicity
+from ledgerloom.llm.common import read, scratch
+from ledgerloom.session import fresh_path
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +27,8 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates."""
-    return neardup.keep_one(docs)
+    """Keep one document of each group whose fingerprints are linked within two bits."""
+    return simhash.keep_one(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +62,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each over the written rows of the one before."""
+    """All stages, each over the written rows of the one before.
+
+    The tables that a stage writes on its way go when its own rows are written.
+    """
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        path = fresh_path(spark, f"pipeline-{name.replace(' ', '-')}")
+        with scratch(spark):
+            rows = stage(spark, docs, sf_dir)
+            rows.write.parquet(path)
+        docs = spark.read.schema(rows.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

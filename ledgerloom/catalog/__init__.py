@@ -6,6 +6,7 @@ from ledgerloom.catalog import (  # noqa: F401  (registration)
     job_queries,
     ledger_queries,
     reply_queries,
+    store_queries,
     stream_queries,
 )
 from ledgerloom.catalog.registry import ORACLES, QUERIES

@@ -15,9 +15,10 @@ from ledgerloom.catalog.registry import literal, query
 from ledgerloom import fixed_values as fv
 from ledgerloom.operators import intake
 from ledgerloom.plans import flow
-from ledgerloom.plans.intake import folder_verdicts
+from ledgerloom.plans.intake import pdf_verdicts
 from ledgerloom.schemas import Settings
 from ledgerloom.sources import files
+from ledgerloom.sources import landing as landing_source
 
 # The documents are small; with this limit some of them are too large.
 LIMIT = Settings(max_size_mb=0.01)
@@ -72,8 +73,7 @@ VERDICT_SQL = (
 
 @query("pdf_scan", VERDICT_SQL + " where lower(filename) like '%.pdf'")
 def pdf_scan(spark, folder):
-    verdicts = folder_verdicts(spark, landing(spark, folder), LIMIT)
-    return verdicts.select("filename", "size_bytes", "accepted", "code", "reason")
+    return pdf_verdicts(spark, landing(spark, folder), LIMIT)
 
 
 def _pages(share: int):
@@ -172,5 +172,5 @@ def pipeline_result(spark, folder):
     "as file_size_mb from fx_files",
 )
 def file_inventory(spark, folder):
-    listed = files.list_files(spark, landing(spark, folder))
+    listed = landing_source.scan(spark, landing(spark, folder))
     return intake.sizes(listed).select("filename", "size_bytes", "file_size_mb")

@@ -215,3 +215,10 @@ COMPLETENESS = 0.8
 
 # Tokens of a chunk, and tokens that a chunk shares with the one before.
 CHUNK_TOKENS, CHUNK_OVERLAP = 2500, 250
+
+# Tokens of all pages of a document, and of its zones of high, middle and low priority.
+TOTAL_TOKENS = 5000
+ZONE_TOKENS = (1500, 2500, 3000)
+
+# Confidence that a field or document must reach.
+CONFIDENCE = 0.7

@@ -52,7 +52,12 @@ def _item_lines(item: Column, index: Column) -> Column:
 
 
 def rows(invoices: DataFrame, generated_at: datetime.datetime | Column) -> DataFrame:
-    """``factura_id, moneda, section, row_no, label, value`` for every invoice.
+    """``factura_id, moneda, section, row_no, label, value`` for every invoice."""
+    return listed(invoices, generated_at).select("factura_id", "moneda", F.inline("lines"))
+
+
+def listed(invoices: DataFrame, generated_at: datetime.datetime | Column) -> DataFrame:
+    """``factura_id, moneda, lines``: the report of each invoice as one list.
 
     All lines of an invoice are built from its own row in one pass over the
     input.  Needs the contract fields and ``filename``.
@@ -121,5 +126,5 @@ def rows(invoices: DataFrame, generated_at: datetime.datetime | Column) -> DataF
     return invoices.withColumn("report_currency", currency).select(
         F.col("id").alias("factura_id"),
         F.col("report_currency").alias("moneda"),
-        F.inline(blocks),
+        blocks.alias("lines"),
     )

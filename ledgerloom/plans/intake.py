@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom import fixed_values as fv
 from ledgerloom.operators.intake import upload_verdict
 from ledgerloom.schemas import DEFAULTS, Settings
-from ledgerloom.sources import files
+from ledgerloom.sources import files, landing
 
 
 def folder_verdicts(
@@ -39,3 +40,25 @@ def folder_verdicts(
         .select(columns)
     )
     return upload_verdict(readable.unionByName(oversized).unionByName(empty), settings)
+
+
+def landed_verdicts(landed: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """``filename, size_bytes, accepted, code, reason`` of files of the landing source.
+
+    The source is opened with ``landing_options``: files above the limit are not read, and
+    of others only the bytes that decide.
+    """
+    begins = F.expr(f"startswith(head, X'{fv.PDF_MAGIC_HEX}')")
+    facts = landed.select("filename", "size_bytes", F.coalesce(begins, F.lit(False)).alias("has_pdf_magic"))
+    return upload_verdict(facts, settings).select("filename", "size_bytes", "accepted", "code", "reason")
+
+
+def landing_options(settings: Settings = DEFAULTS) -> dict[str, int]:
+    return {"head": len(fv.PDF_MAGIC_HEX) // 2, "max_bytes": settings.max_size_bytes}
+
+
+def pdf_verdicts(spark: SparkSession, folder: str, settings: Settings = DEFAULTS) -> DataFrame:
+    """Verdicts on every PDF file of a folder, empty ones included, from one listing."""
+    landed = landing.scan(spark, folder, **landing_options(settings))
+    named = landed.where(F.endswith(F.lower("filename"), F.lit(".pdf")))
+    return landed_verdicts(named, settings)

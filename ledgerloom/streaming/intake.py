@@ -8,8 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from ledgerloom.operators.intake import upload_verdict
+from ledgerloom.plans.intake import landed_verdicts, landing_options
 from ledgerloom.schemas import DEFAULTS, Settings
-from ledgerloom.sources import files
+from ledgerloom.sources import files, landing
 
 
 _FACTS = ("filename", "size_bytes", "has_pdf_magic")
@@ -52,6 +53,27 @@ def start(
     )
 
 
+def follow(
+    spark: SparkSession, folder: str, out: str, checkpoint: str, settings: Settings = DEFAULTS
+) -> StreamingQuery:
+    """Append a verdict for each file that arrived since the last run, empty ones included.
+
+    The landing source hands out each name once for its log, which lies beside the
+    checkpoint, and the file sink commits a batch as a whole: a restart neither loses nor
+    repeats a file.
+    """
+    arrived = landing.stream(spark, folder, f"{checkpoint}-log", **landing_options(settings))
+    return (
+        landed_verdicts(arrived, settings)
+        .writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", f"{out}/{_READ}")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def judge_empty(spark: SparkSession, folder: str, out: str, settings: Settings = DEFAULTS) -> None:
     """Append verdicts for files of no bytes, which the file source does not show.
 

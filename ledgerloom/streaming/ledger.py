@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from ledgerloom.plans import invoices
 from ledgerloom.schemas import DEFAULTS, Settings
-from ledgerloom.sinks import tables
+from ledgerloom.streaming.key_index import KeyIndex
 
 
 def append_new(
@@ -19,27 +18,18 @@ def append_new(
 ) -> None:
     """Append the batch without the keys the ledger already holds.
 
-    One accepted reply is kept per key, chosen as everywhere.  The ledger is read for its
-    key column only and is first reduced to the keys of the batch; the batch
-    keys are the small side of that join, which adaptive execution broadcasts
-    when their measured size allows it.  Running a batch again, also after it
-    was written in part, adds nothing twice.
+    One accepted reply is kept per key, chosen as everywhere.  Which keys are there is
+    answered by the key index beside the ledger, of which a batch opens its own buckets;
+    the ledger itself is not read.  Running a batch again, also after it was written in
+    part, adds nothing twice.  A ledger has one writer at a time.
     """
+    index = KeyIndex(batch.sparkSession, path)
+    index.repair()
     rows = invoices.to_ledger(batch, day, settings)
-    known = _known_keys(batch.sparkSession, path)
+    known = index.known(batch.select(F.col("doc_id").alias("id")).distinct())
     if known is not None:
-        keys = batch.select(F.col("doc_id").alias("id")).distinct()
-        rows = rows.join(known.join(keys, "id", "left_semi"), "id", "left_anti")
-    tables.append_ledger(rows, path)
-
-
-def _known_keys(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).select("id")
-    except AnalysisException as problem:
-        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+        rows = rows.join(known, "id", "left_anti")
+    index.append(rows)
 
 
 def start(

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import WORD, free_name, row_key, saved, text_of
 
-#: A line is removed when more documents of its host have it than the greater of these.
-LEAST_DOCUMENTS, PART_OF_HOST = 20, 0.01
+#: A line is removed when more distinct documents of its host than this have it.  The limit
+#: is the same for a host of any size: a line that twenty different texts repeat is not the
+#: work of any of them, and how many texts without it there are beside does not change that.
+MOST_DOCUMENTS = 20
 #: A document is depleted when less than this part of its words stays.
 STAYS = 0.5
 #: Base rules: least words, and most percent of words in repeated windows.
@@ -112,10 +114,8 @@ def measured(
     return saved(rows, "lines-measured")
 
 
-def common_lines(
-    rows: DataFrame, least: int = LEAST_DOCUMENTS, part: float = PART_OF_HOST
-) -> DataFrame:
-    """`(host, line)` of the lines that more distinct documents have than the limit.
+def common_lines(rows: DataFrame, most: int = MOST_DOCUMENTS) -> DataFrame:
+    """`(host, line, documents)` of the lines that more than `most` distinct documents have.
 
     Copies of a text are one document of their host.  Counts are summed within tasks
     before they are shuffled, so a very common line costs a row per task.
@@ -123,21 +123,11 @@ def common_lines(
     texts = rows.select(
         "host", "content", F.array_distinct(F.transform("lines", lambda x: x["line"])).alias("lines")
     ).dropDuplicates(["host", "content"])
-    texts = saved(texts, "lines-texts")
-    limits = texts.groupBy("host").agg(
-        F.greatest(F.lit(float(least)), F.count("*") * F.lit(part)).alias("limit")
-    )
-    counts = (
+    return (
         texts.select("host", F.explode("lines").alias("line"))
         .groupBy("host", "line")
         .agg(F.count("*").alias("documents"))
-        .filter(F.col("documents") > least)
-    )
-    named = limits.withColumnRenamed("host", "limit_host")
-    return (
-        counts.join(named, F.col("host").eqNullSafe(F.col("limit_host")))
-        .filter("documents > limit")
-        .select("host", "line", "documents")
+        .filter(F.col("documents") > most)
     )
 
 
@@ -159,8 +149,7 @@ def verdicts(
     id_column: str = "doc_id",
     text: str = "text",
     host: str = "source",
-    least: int = LEAST_DOCUMENTS,
-    part: float = PART_OF_HOST,
+    most: int = MOST_DOCUMENTS,
     stays: float = STAYS,
 ) -> DataFrame:
     """Figures and verdict of each document, one row per row of `docs`.
@@ -171,7 +160,7 @@ def verdicts(
     are one document and get a row each.  Other columns are not read.
     """
     rows = measured(docs, id_column, text, host)
-    lost = losses(rows, saved(common_lines(rows, least, part), "lines-common"))
+    lost = losses(rows, saved(common_lines(rows, most), "lines-common"))
     joined = rows.drop("lines").join(
         lost.drop("lost_lines").withColumnRenamed("key", "lost_key"),
         (F.col("key") == F.col("lost_key")) & F.col("host").eqNullSafe(F.col("lost_host")),

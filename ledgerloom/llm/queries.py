@@ -142,13 +142,9 @@ with d as (
     len(regexp_extract_all(line, '[^{_BLANK}]+')) as words
   from (select rid, source, text, unnest(string_split(text, chr(10))) as line from d) as x
   where regexp_matches(line, '[^{_BLANK}]')
-), hosts as (
-  select source, count(distinct text) as texts from d group by source
 ), common as (
-  select l.source, l.norm from (
-    select source, norm, count(distinct text) as n from lines group by source, norm) as l
-  join hosts h on h.source is not distinct from l.source
-  where n > {lines.LEAST_DOCUMENTS} and n > {lines.PART_OF_HOST} * texts
+  select source, norm from lines group by source, norm
+  having count(distinct text) > {lines.MOST_DOCUMENTS}
 ), per_line as (
   select l.rid, count(*) - count(distinct l.line) as dup,
     sum(case when c.norm is not null then l.words else 0 end) as lost

@@ -79,3 +79,17 @@ def test_limit_does_not_depend_on_dealing(spark):
     docs = shared(spark)
     a = sorted(map(tuple, lines.verdicts(docs.repartition(7)).collect()))
     assert a == sorted(map(tuple, lines.verdicts(docs.coalesce(1)).collect()))
+
+
+def test_one_limit_for_hosts_of_every_size(spark):
+    """Depleted documents go from a host of 60 and from one of 4,000 texts alike."""
+    menu = " ".join(f"menu{i} part" for i in range(30))
+    small = [(n, f"{menu}\nown{n} " + " ".join(f"s{n}y{i}" for i in range(19)), "small") for n in range(25)]
+    small += [(100 + n, " ".join(f"s{n}z{i}" for i in range(55)), "small") for n in range(35)]
+    large = [(1000 + n, f"{menu}\nown{n} " + " ".join(f"l{n}y{i}" for i in range(19)), "large") for n in range(25)]
+    large += [(2000 + n, " ".join(f"l{n}z{i}" for i in range(55)), "large") for n in range(3975)]
+    docs = spark.createDataFrame(small + large, "doc_id long, text string, source string")
+    rows = lines.verdicts(docs).collect()
+    gone = {r["doc_id"] for r in rows if not r["kept"]}
+    assert gone == {*range(25), *range(1000, 1025)}
+    assert not any(r["base_failed"] for r in rows)

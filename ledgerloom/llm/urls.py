@@ -12,6 +12,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import bind
+from ledgerloom.llm.url_labels import labelled_urls
+
 #: Fixed values: (host, start of path, verdict).
 RULES = (
     ("com", "/", "allow"),
@@ -44,21 +47,30 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _gram(mark: str, text: Column, size: int):
-    return lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(size)))
+def grams(host: Column, path: Column, sizes=GRAMS, places: int = PLACES) -> Column:
+    """Distinct places that the n-grams of host and path are hashed to.
+
+    N-grams of the host and of the path have places of their own.  Characters are taken
+    from an array by index, so the work is in proportion to the length of the URL.
+    """
 
+    def of_part(mark: int, text: Column) -> Column:
+        def of_size(characters: Column, size: int) -> Column:
+            last = F.size(characters) - size
+            starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+            place = lambda i: F.pmod(
+                F.xxhash64(F.lit(mark), *[F.get(characters, i + k) for k in range(size)]), F.lit(places)
+            ).cast("int")
+            return F.transform(starts, place)
 
-def grams(host: Column, path: Column, sizes=GRAMS) -> Column:
-    """Character n-grams of host and path, each with a mark of where it is from."""
-    parts = []
-    for mark, text in (("h", F.concat(F.lit("."), host, F.lit("/"))), ("p", F.concat(path, F.lit("?")))):
-        for size in sizes:
-            last = F.length(text) - size + 1
-            places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(
-                F.array().cast("array<int>")
-            )
-            parts.append(F.transform(places, _gram(mark, text, size)))
-    return F.concat(*parts)
+        def hashed(characters: Column) -> Column:
+            return F.array_distinct(F.concat(*[of_size(characters, size) for size in sizes]))
+
+        return bind(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), hashed)
+
+    return F.array_union(
+        of_part(1, F.concat(F.lit("."), host, F.lit("/"))), of_part(2, F.concat(path, F.lit("?")))
+    )
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
@@ -95,19 +107,19 @@ def judged(
     """One row per row of `pages`: `page_id, host, path, rule, verdict, block_chance`.
 
     A rule decides where one fits.  Elsewhere the regression does; its labelled URLs
-    are `labelled(url, verdict)`, or else the pages that a rule decides.  Where there
+    are `labelled(url, verdict)`, or else the small table of `url_labels`.  Where there
     are no labels of both verdicts it allows.  Null URLs and URLs without `://` have
-    an empty host and path and go the same way.  Repeated rows get a row each.
+    an empty host and path and go the same way.  Repeated rows get a row each.  A very
+    long URL takes time and memory in proportion to its length.
     """
     host, path = host_and_path(url)
     rows = pages.select(F.col(id_column).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), says.alias("says"))
     if labelled is None:
-        table = rows.select("host", "path", F.col("says").alias("verdict"))
-    else:
-        host, path = host_and_path("url")
-        table = labelled.select(host.alias("host"), path.alias("path"), "verdict")
+        labelled = pages.sparkSession.createDataFrame(labelled_urls(), "url string, verdict string")
+    host, path = host_and_path("url")
+    table = labelled.select(host.alias("host"), path.alias("path"), "verdict")
     model = train(table)
     if model is None:
         scored = rows.withColumn("block_chance", F.lit(0.0))

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import re
-import string
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -27,9 +26,16 @@ from ledgerloom.llm.common import release, saved, text_of
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b",
     "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l",
+    "#": "h",
 }
-#: Costs of the channel in nats: a replaced, a dropped and an added character.
-REPLACED, DROPPED, ADDED = 1.0, 6.0, 0.7
+#: Costs of the channel in nats: a replaced, a dropped and an added character.  A character
+#: that may be a letter is dropped only where no reading has a likely place.
+REPLACED, DROPPED, ADDED = 1.0, 20.0, 0.7
+#: Costs of a letter written twice for once, and of any other mark inside of a word: one
+#: that means nothing, and one that ends the word.
+DOUBLED, IGNORED, ENDED = 6.0, 1.0, 3.0
+#: Characters of a run without blanks that are read together.
+LONGEST = 1_000
 #: Letters that make a run, and the prefixes of a word that are features.
 RUN, PREFIXES = 3, range(3, 9)
 #: Bounds of the classifier: labelled rows, features, and rows that a feature needs.
@@ -128,15 +134,19 @@ def lattice(word: str, spaced: bool = False) -> list[list[tuple[float, str]]]:
             choices = [
                 (REPLACED * min(length, 2) + (length > 1) * ADDED, letter * count)
                 for letter in LEET[character]
-                for count in ({length} if length < RUN else {1, 2})
+                for count in ({1} if length == 1 else {1, 2})
             ]
             choices.append((DROPPED, ""))
+        elif not character.isalpha():
+            choices = [(IGNORED, ""), (ENDED, " ")]
+        elif length == 1:
+            choices = [(0.0, character)]
         elif length < RUN:
-            choices = [(0.0, character * length)]
+            choices = [(0.0, character * length), (DOUBLED, character)]
         else:
             choices = [(ADDED, character), (ADDED, character * 2), (DROPPED, character * 3)]
         if spaced:
-            choices += [(cost + ADDED, text + " ") for cost, text in choices if text]
+            choices += [(cost + ADDED, text + " ") for cost, text in choices if text.strip()]
         steps.append(choices)
     return steps
 
@@ -173,9 +183,11 @@ def decode(word: str, costs: np.ndarray, spaced: bool = False) -> str:
 
 
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*][^\W_]){2,}(?![^\W_])")
-_MARKS = string.punctuation
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-_RUN = re.compile(r"([^\W\d_])\1\1")
+#: Marks around a word: all but signs that stand for a letter there, and at its end all but
+#: those that no sentence ends with.
+_LEAD = re.compile(r"^(?:(?![@$€£|+!])[\W_])+")
+_TAIL = re.compile(r"(?:(?![@$€£])[\W_])+$")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
 
 
 class Memory(dict):
@@ -199,7 +211,12 @@ class Memory(dict):
 
 
 class Restorer:
-    """Restores words with a language model; remembers a bounded number of them."""
+    """Restores words with a language model; remembers a bounded number of them.
+
+    Every run of characters that holds a letter and a sign, or a letter that follows itself,
+    goes through the lattice, and the cheapest path decides.  Very long runs are read in
+    pieces of `LONGEST` characters, which bounds memory; no character is left out.
+    """
 
     def __init__(self, costs: np.ndarray):
         self.costs = costs
@@ -213,21 +230,38 @@ class Restorer:
         return tuple(self._read(raw))
 
     def _read(self, raw: str) -> Iterable[str]:
-        word = raw.strip(_MARKS)
-        if word.isalpha() and not _RUN.search(word):
-            return [word]
-        word = _EDGES.sub("", raw)
-        if not word:
-            return []
-        if word.isalpha() and not _RUN.search(word):
-            return [word]
-        kept = raw.strip(".,;:?\"'()[]{}<>#%&*~-_=/\\`^").rstrip("!|+(")
-        signs = sum(c in LEET for c in kept)
-        if not any(c.isalpha() for c in kept) or not (signs or _RUN.search(kept)):
-            return [w for w in re.split(r"[\W_]+", word) if w]
-        if signs > len(kept) // 2 or any(not c.isalpha() and c not in LEET for c in kept):
-            return [w for w in re.split(r"[\W_]+", word) if w]
-        return [w for w in re.split(r"[\W_]+", decode(kept, self.costs)) if w]
+        kept = _TAIL.sub("", _LEAD.sub("", raw))
+        if kept.isalpha():
+            return [kept] if not _DOUBLE.search(kept) else self._letters(kept)
+        parts = [w for w in re.split(r"[\W_]+", kept) if w]
+        if not any(c.isalpha() for c in kept):
+            return parts
+        restored = [
+            w
+            for at in range(0, len(kept), LONGEST)
+            for w in re.split(r"[\W_]+", decode(kept[at : at + LONGEST], self.costs))
+            if w
+        ]
+        if any(not c.isalpha() and c not in LEET for c in kept):
+            # A mark may join two words or hide in one, so both readings count.
+            restored += [part for part in parts if part not in restored]
+        return restored
+
+    def _letters(self, word: str) -> list[str]:
+        """A word of letters of which some follow themselves."""
+        doubles = [i for i in range(1, len(word)) if word[i] == word[i - 1]]
+        if len(doubles) > 1:
+            return [
+                w for at in range(0, len(word), LONGEST) for w in decode(word[at : at + LONGEST], self.costs).split()
+            ]
+        # One double: only the three trigrams that hold its second letter differ.
+        at = doubles[0]
+        s = [0, 0, *map(_symbol, word[max(0, at - 2) : at + 3]), 0, 0]
+        i = 2 + min(at, 2)
+        twice = sum(float(self.costs[s[k - 2], s[k - 1], s[k]]) for k in range(i, i + 3 - (at + 1 == len(word))))
+        t = s[:i] + s[i + 1 :]
+        once = sum(float(self.costs[t[k - 2], t[k - 1], t[k]]) for k in range(i, i + 2 - (at + 1 == len(word))))
+        return [word] if twice <= once + DOUBLED else [word[:at] + word[at + 1 :]]
 
     def words(self, text: str) -> Counter:
         """Restored words of a whole text, with the number of times each occurs."""

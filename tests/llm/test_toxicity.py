@@ -1,6 +1,8 @@
 """Decoding, the language model, and accuracy on held-out labels."""
 
 import itertools
+import random
+import re
 import zlib
 from collections import Counter
 
@@ -94,3 +96,58 @@ def test_hostile_texts_and_labels(spark, hostile, empty):
     assert t.scored(empty, labels).count() == 0
     kept = t.keep_clean(hostile, none)
     assert kept.columns == hostile.columns and kept.count() == hostile.count()
+
+
+SIGNS = {letter: [sign for sign, letters in t.LEET.items() if letter in letters] for letter in "abceghilostz"}
+
+
+def disguised(rng, word, way):
+    able = [i for i, c in enumerate(word) if SIGNS.get(c)]
+    if way in ("some", "all"):
+        chosen = able if way == "all" else rng.sample(able, min(len(able), rng.randrange(1, 4)))
+        return "".join(rng.choice(SIGNS[c]) if i in chosen and (i or way == "some") else c for i, c in enumerate(word))
+    at = rng.randrange(1, len(word) - 1)
+    if way == "marks":
+        return word[:at] + rng.choice("*-._~") + word[at:]
+    return word[: at + 1] + word[at] * (1 if way == "twice" else 3) + word[at + 1 :]
+
+
+def test_recall_of_200_restored_words(spark, costs):
+    """Frequent words, disguised; the README has these figures.
+
+    Most misses of the first two ways are signs at the edge of a word, read as punctuation.
+    """
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = Counter(w for r in docs.collect() for w in re.findall(r"[a-z]{4,}", r["text"].lower()))
+    frequent = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:1500]]
+    rng = random.Random(3)
+    words = rng.sample(frequent, 200)
+    restorer = t.Restorer(costs)
+    least = {"some": 160, "all": 135, "marks": 190, "twice": 135, "often": 180}
+    for way, wanted in least.items():
+        found = sum(w in restorer.read(disguised(rng, w, way)) for w in words)
+        assert found >= wanted, (way, found)
+    doubled = [w for w in frequent if re.search(r"(.)\1", w)]
+    assert sum(restorer.read(w) == (w,) for w in doubled) >= 0.97 * len(doubled)
+
+
+def test_words_that_were_left_as_they_are(costs):
+    restorer = t.Restorer(costs)
+    for raw, word in {
+        "m34d0w": "meadow", "570ry": "story", "h311o": "hello", "4g41n": "again", "sto*ry": "story", "s-t0ry": "story",
+        "stoory": "story",
+    }.items():
+        assert word in restorer.read(raw), raw
+    assert {"well", "known"} <= set(restorer.read("well-known"))
+    assert "".join(restorer.read("ab1" * 1000)) and len(restorer.read("a" * 100_000)) > 0
+
+
+def test_one_double_is_read_as_the_lattice_reads_it(costs):
+    rng = random.Random(5)
+    restorer = t.Restorer(costs)
+    for _ in range(400):
+        word = "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 9)))
+        word = "".join(c for i, c in enumerate(word) if not i or c != word[i - 1])
+        at = rng.randrange(len(word))
+        word = word[: at + 1] + word[at:]
+        assert restorer.read(word) == (t.decode(word, costs),), word

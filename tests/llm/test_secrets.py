@@ -91,3 +91,22 @@ def test_random_letters_are_told_from_words():
     ]
     assert [s for s in plain if secrets.is_random(s, TOKENS)] == []
     assert secrets.find("key is qXzLmPvRtKwYbNcJhGdFs now", TOKENS) == [("random", 7, 28)]
+
+
+def test_recall_by_alphabet_and_length():
+    """Strings that hold a letter and a digit; the README has these figures."""
+    rng = random.Random(8)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    least = {lower + lower.upper() + digits: 0.97, lower + digits: 0.9, lower.upper() + digits: 0.9}
+    for alphabet, share in least.items():
+        for length in (12, 14, 16, 18, 19, 20, 24, 31, 40):
+            drawn = ["".join(rng.choice(alphabet) for _ in range(length)) for _ in range(400)]
+            drawn = [d for d in drawn if any(c.isdigit() for c in d) and any(c.isalpha() for c in d)]
+            found = sum(secrets.is_random(d, TOKENS) for d in drawn) / len(drawn)
+            assert found >= share, (alphabet, length, found)
+    plain = [
+        "2023-09-15T10", "20230915T101500Z", "2023-09-15T10-15-00", "http2-server", "version2build", "covid-19-test",
+        "iPhone12ProMax", "mp3-player-2020", "chapter10section2", "user_account_42", "utf8_general_ci", "2nd-edition",
+        "python3.13/site".replace(".", "_"), "COVID19VACCINE", "base64encoded", "page2/item34/view",
+    ]
+    assert [p for p in plain if secrets.is_random(p, TOKENS)] == []

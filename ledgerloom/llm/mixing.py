@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import WORD, release, saved, split_mix, text_of
@@ -26,8 +26,6 @@ SHARE, REPEATS = (3, 2), 2
 #: Words of a block and slots of an output shard.
 BLOCK_WORDS, SHARD_SLOTS = 128, 16384
 SEED = 20
-#: Position of a task's number in a row's number.
-_TASK = 1 << 33
 
 
 @dataclass(frozen=True)
@@ -83,22 +81,46 @@ def quotas(
     return found
 
 
-def packed(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source"):
+@dataclass(frozen=True)
+class Packed:
+    """Documents with their places: `places` has no texts, `texts` is `row, text`."""
+
+    places: DataFrame
+    texts: DataFrame
+
+    def collect(self) -> list:
+        """All rows with their texts; for small tables."""
+        return self.places.join(self.texts, "row").collect()
+
+
+def packed(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source"
+) -> Packed:
     """One row per document with its place on the word axis of its source.
 
-    Columns `row, doc_id, source, text, size, task, start`: the start is counted
-    within the task that read the row, which needs no shuffle and keeps a hot source
-    on all tasks.  The rows are written, so that these numbers hold from here on.
+    Places are `row, doc_id, source, size, task, start`.  The order of documents follows
+    from hashes of their ids and texts, so it is the same however the rows are dealt over
+    files and tasks; rows that agree in both may change places with each other.  Only
+    these hashes and sizes are sorted, in ranges that cut a hot source into many tasks;
+    the start is counted within such a range.  Both tables are written.
     """
     chosen = docs.select(
-        F.col(id_column).alias("doc_id"),
-        F.col(source).cast("string").alias("source"),
-        text_of(text).alias("text"),
-        F.regexp_count(text_of(text), F.lit(WORD)).cast("long").alias("size"),
+        F.monotonically_increasing_id().alias("row"),
+        F.col(f"`{id_column}`").alias("doc_id"),
+        F.col(f"`{source}`").cast("string").alias("source"),
+        text_of(f"`{text}`").alias("text"),
+        F.regexp_count(text_of(f"`{text}`"), F.lit(WORD)).cast("long").alias("size"),
+    )
+    rows = saved(
+        chosen.withColumns(
+            {"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", "doc_id", F.lit(SEED))}
+        ),
+        "mix-docs",
+        compression="zstd",
     )
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number, used = TaskContext.get().partitionId(), 0, {}
+        task, used = TaskContext.get().partitionId(), {}
         for batch in batches:
             count = batch.num_rows
             starts = np.zeros(count, np.int64)
@@ -111,46 +133,35 @@ def packed(docs: DataFrame, id_column: str = "doc_id", text: str = "text", sourc
                 before = np.cumsum(sizes[own]) - sizes[own]
                 starts[own] = before + used.get(name, 0)
                 used[name] = used.get(name, 0) + int(sizes[own].sum())
-            rows = pa.array(np.arange(number, number + count) + task * _TASK)
-            number += count
             yield pa.RecordBatch.from_arrays(
-                [rows, *batch.columns, pa.array(np.full(count, task, np.int32)), pa.array(starts)],
-                ["row", *batch.schema.names, "task", "start"],
+                [*batch.columns, pa.array(np.full(count, task, np.int32)), pa.array(starts)],
+                [*batch.schema.names, "task", "start"],
             )
 
-    kind = f"row long, doc_id {chosen.schema['doc_id'].dataType.simpleString()}, source string, text string, size long, task int, start long"
-    return saved(chosen.mapInArrow(place, kind), "mix-packed", compression="zstd")
+    order = ["source", "k1", "k2", "row"]
+    slim = rows.drop("text").repartitionByRange(*order).sortWithinPartitions(*order)
+    kind = f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, source string, size long"
+    places = slim.drop("k1", "k2").mapInArrow(place, f"{kind}, task int, start long")
+    return Packed(saved(places, "mix-places"), rows.select("row", "text"))
 
 
-def pieces(
-    packed_docs: DataFrame, block_words: int = BLOCK_WORDS, with_text: bool = False
-) -> DataFrame:
-    """The parts that blocks take of documents: `source, block, row, doc_id, first, words`.
+def pieces(places: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The parts that blocks take of documents: `source, block, offset, row, doc_id, first, words`.
 
-    With text, also the words themselves, joined by single blanks.
+    The offset is the part's place in its block.
     """
-    tasks = packed_docs.groupBy("source", "task").agg(F.sum("size").alias("words"))
+    tasks = places.groupBy("source", "task").agg(F.sum("size").alias("words"))
     along = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = tasks.select(
         F.col("source").alias("base_source"),
         F.col("task").alias("base_task"),
         F.coalesce(F.sum("words").over(along), F.lit(0)).alias("base"),
     )
-    placed = (
-        packed_docs.filter("size > 0")
-        .select("row", "doc_id", "source", "size", "task", "start", *["text"] * with_text)
-        .join(
-            bases,
-            F.col("source").eqNullSafe(F.col("base_source"))
-            & (F.col("task") == F.col("base_task")),
-        )
+    placed = places.filter("size > 0").join(
+        bases,
+        F.col("source").eqNullSafe(F.col("base_source")) & (F.col("task") == F.col("base_task")),
     )
     at = F.col("base") + F.col("start")
-    if with_text:
-        parts = placed.select(
-            "source", "row", "doc_id", F.explode(_cuts(F.col("text"), at, block_words)).alias("cut")
-        )
-        return parts.select("source", "cut.block", "row", "doc_id", "cut.first", "cut.words", "cut.text")
     blocks = F.sequence(
         F.floor(at / block_words), F.floor((at + F.col("size") - 1) / block_words)
     )
@@ -162,6 +173,7 @@ def pieces(
     return cut.select(
         "source",
         "block",
+        (begin - F.col("block") * block_words).alias("offset"),
         "row",
         "doc_id",
         (begin - F.col("at")).alias("first"),
@@ -169,28 +181,32 @@ def pieces(
     )
 
 
-def _cuts(text: Column, at: Column, block_words: int) -> Column:
-    """The pieces of a text that starts at a place of its source's word axis."""
-    piece = [("block", pa.int64()), ("first", pa.int64()), ("words", pa.int64()), ("text", pa.string())]
+def _with_text(used: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pieces with their words, joined by single blanks.
+
+    The pieces of a document are listed first, so each text is moved and split once; a list
+    has at most as many entries as the blocks of its document are used.
+    """
+    columns = [name for name in used.columns if name != "row"]
+    lists = used.groupBy("row").agg(F.collect_list(F.struct(*columns)).alias("uses"))
 
-    @F.arrow_udf("array<struct<block:long,first:long,words:long,text:string>>")
-    def cut(texts: pa.Array, places: pa.Array) -> pa.Array:
+    @F.arrow_udf("array<string>")
+    def cut(values: pa.Array, uses: pa.Array) -> pa.Array:
         found = []
-        for value, place in zip(texts.cast(pa.large_binary()), places):
-            words, start = value.as_py().split(), place.as_py()
-            own, first = [], 0
-            while first < len(words):
-                block = (start + first) // block_words
-                part = words[first : (block + 1) * block_words - start]
-                own.append(
-                    {"block": block, "first": first, "words": len(part), "text": b" ".join(part).decode()}
-                )
-                first += len(part)
-            found.append(own)
+        for value, own in zip(values.cast(pa.large_binary()), uses):
+            words = value.as_py().split()
+            found.append(
+                [b" ".join(words[u["first"] : u["first"] + u["words"]]).decode() for u in own.as_py()]
+            )
         release()
-        return pa.array(found, pa.list_(pa.struct(piece)))
+        return pa.array(found, pa.list_(pa.string()))
 
-    return cut(text, at)
+    ranges = F.transform("uses", lambda u: F.struct(u["first"].alias("first"), u["words"].alias("words")))
+    joined = lists.join(texts, "row").select("row", "uses", cut("text", ranges).alias("texts"))
+    return joined.select("row", F.explode(F.arrays_zip("uses", "texts")).alias("x")).select(
+        *[F.col("row") if name == "row" else F.col(f"x.uses.{name}").alias(name) for name in used.columns],
+        F.col("x.texts").alias("text"),
+    )
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -302,51 +318,57 @@ def slots(
     return named.select("shard", "slot", "source", block_of("index", "blocks", "source_index").alias("block"))
 
 
-def source_sizes(packed_docs: DataFrame) -> list[tuple[str | None, int]]:
-    """Words of each source: the mixture's own table, one entry a source."""
-    return [(r[0], int(r[1])) for r in packed_docs.groupBy("source").agg(F.sum("size")).collect()]
+def source_sizes(docs: Packed) -> list[tuple[str | None, int]]:
+    """Words of each source: the mixture's own table, one entry a source.
+
+    The driver holds this table and its quotas, and a task draws one number for each of its
+    sources, so a mix is meant for up to some 100,000 sources.
+    """
+    return [(r[0], int(r[1])) for r in docs.places.groupBy("source").agg(F.sum("size")).collect()]
 
 
 def mix(
-    packed_docs: DataFrame,
+    docs: Packed,
     plan: list[Quota],
     block_words: int = BLOCK_WORDS,
     shard_slots: int = SHARD_SLOTS,
     seed: int = SEED,
     with_text: bool = False,
 ) -> DataFrame:
-    """The mix: `shard, slot, source, block, row, doc_id, first, words` (and `text`).
+    """The mix: `shard, slot, source, block, offset, row, doc_id, first, words` (and `text`).
 
     A slot holds the pieces of its block; a piece is `words` words of the packed
     document `row` from word `first` on.  With text these are the training blocks
-    themselves: the pieces of a slot in order of `row`.
+    themselves: the pieces of a slot in order of `offset`.  Slots are joined
+    to pieces by index, and only then texts are cut.
     """
-    index = slots(packed_docs.sparkSession, plan, shard_slots, seed)
+    index = slots(docs.places.sparkSession, plan, shard_slots, seed)
     parts = (
-        pieces(packed_docs, block_words, with_text)
+        pieces(docs.places, block_words)
         .withColumnRenamed("source", "s")
         .withColumnRenamed("block", "b")
     )
-    return index.join(
+    used = index.join(
         parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
     ).drop("s", "b")
+    return _with_text(used, docs.texts) if with_text else used
 
 
-def taken(packed_docs: DataFrame, plan: list[Quota], **options) -> DataFrame:
+def taken(docs: Packed, plan: list[Quota], **options) -> DataFrame:
     """Words that the mix takes of each document, one row per document row.
 
     Columns `doc_id, size, source_size, target, taken`.  Null and empty texts have
     size 0 and take nothing; null is a source of its own, the last one; repeated rows
     are documents of their own.  An empty table gives an empty result.
     """
-    spark = packed_docs.sparkSession
-    sums = mix(packed_docs, plan, **options).groupBy("row").agg(F.sum("words").alias("taken"))
+    spark = docs.places.sparkSession
+    sums = mix(docs, plan, **options).groupBy("row").agg(F.sum("words").alias("taken"))
     table = spark.createDataFrame(
         [(q.source, q.size, q.target) for q in plan],
         "table_source string, source_size long, target double",
     )
     return (
-        packed_docs.select("row", "doc_id", "source", "size")
+        docs.places.select("row", "doc_id", "source", "size")
         .join(sums, "row", "left")
         .join(table, F.col("source").eqNullSafe(F.col("table_source")))
         .select(

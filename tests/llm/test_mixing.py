@@ -134,3 +134,15 @@ def test_the_query_runs_alike_again(spark, small):
 
     first, second = (sorted(map(tuple, op1_mixing(spark, small).collect())) for _ in range(2))
     assert first == second
+
+
+def test_the_mix_does_not_follow_the_split(spark, hostile):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for table, words in ((docs, 128), (hostile, 4)):
+        found = []
+        for dealt in (table.coalesce(1), table.repartition(5), table.repartition(11, "doc_id")):
+            rows = mixing.packed(dealt)
+            plan = mixing.quotas(mixing.source_sizes(rows), words)
+            got = mixing.taken(rows, plan, block_words=words, shard_slots=64).collect()
+            found.append(sorted(map(repr, got)))
+        assert found[0] == found[1] == found[2]

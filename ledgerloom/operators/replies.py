@@ -54,23 +54,19 @@ def picked(replies: DataFrame, key: str = "doc_id") -> DataFrame:
     replies reaches the shuffle as one row per task.  Tokens of replies that do not
     count are counted nowhere.
     """
-    judged = unfence(replies).select(
+    judged = replies.select(
         F.col(key).alias("doc_id"),
-        "content",
-        "total_tokens",
-        "body",
-        rp.is_json_object(F.col("body")).alias("accepted"),
+        F.struct(
+            (~rp.is_json_object(tx.unfence(F.col("content")))).alias("rejected"), "content", "total_tokens"
+        ).alias("rank"),
     )
-    rank = F.struct((~F.col("accepted")).alias("rejected"), "content", "total_tokens", "body")
-    return (
-        judged.groupBy("doc_id")
-        .agg(F.min(rank).alias("best"))
-        .select(
-            "doc_id",
-            (~F.col("best.rejected")).alias("accepted"),
-            "best.body",
-            "best.total_tokens",
-        )
+    # The text travels once; what stands within the fence is taken from it afterwards.
+    best = judged.groupBy("doc_id").agg(F.min("rank").alias("best"))
+    return best.select(
+        "doc_id",
+        (~F.col("best.rejected")).alias("accepted"),
+        tx.unfence(F.col("best.content")).alias("body"),
+        "best.total_tokens",
     )
 
 

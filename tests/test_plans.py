@@ -9,8 +9,12 @@ from ledgerloom.operators import ledger, pages, replies
 from ledgerloom.plans import documents as plan
 
 # Queries whose work is user code or a folder listing.
-PYTHON = {"extractor_plug", "extract_plug", "pdf_scan", "file_inventory", "pipeline_result"}
-STREAMS = {"stream_intake", "stream_job_state", "stream_ledger"}
+PYTHON = {
+    "extractor_plug", "extract_plug", "pdf_scan", "file_inventory", "pipeline_result", "exported_rows"
+}
+STREAMS = {
+    "stream_intake", "stream_job_state", "stream_ledger", "stream_job_table", "stream_ledger_again"
+}
 
 
 def text_of(rows) -> str:
@@ -48,6 +52,14 @@ def test_gate_and_parse_run_once(spark, small):
     assert text.count("from_json(") == 3
 
 
+def test_the_text_of_a_reply_is_sorted_and_shuffled_once(spark, small):
+    table = spark.read.parquet(inp.replies_path(spark, small))
+    for rows in (replies.accepted_invoices(table), replies.token_cost(table), replies.one_per_document(table)):
+        text = text_of(rows)
+        ranks = [line for line in text.split("\n") if "partial_min(struct(rejected" in line or "partial_min(rank" in line]
+        assert len(ranks) == 1 and "body" not in ranks[0]
+
+
 def test_page_filter_below_the_aggregate(spark, small):
     rows = spark.createDataFrame([(1, 1, "x")], "doc_id INT, page_no INT, text STRING")
     text = text_of(pages.assemble_rows(rows))

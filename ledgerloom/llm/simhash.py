@@ -175,6 +175,8 @@ def keep_one(
         .agg(F.min("first").alias("first"))
         .select(F.col("first.number").alias(number))
     )
-    return rows.join(saved(stays, "simhash-stays"), number, "left_semi").select(
+    # What stays grows with the rows, so it is shuffled at every size and never broadcast.
+    kept = saved(stays, "simhash-stays").hint("shuffle_merge")
+    return rows.join(kept, number, "left_semi").select(
         *[F.col(f"`{name}`") for name in docs.columns]
     )

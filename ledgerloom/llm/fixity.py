@@ -8,72 +8,104 @@ many steps as the tree is high.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import saved
 
 #: Bits of a place within a volume, of the smallest range, and of each further level.
 VOLUME_BITS, RANGE_BITS, LEVEL_BITS = 26, 16, 4
-#: Volumes that one task may number.
-_TASK_BITS = 20
+#: Capture time of pages that have none.
+CAPTURED = "1970-01-01T00:00:00Z"
+#: Characters that stand in a URI as they are.
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+_URI = ":/?#[]@!$&'()*+,;=%~-._"
 
 
-def record(page_id: object, url: str | None, html: str | None) -> bytes:
-    """A page as a WARC response record."""
+def record(page_id: object, url: str | None, html: str | None, date: str = CAPTURED) -> bytes:
+    """A page as a WARC resource record: its text alone, without the head of a response.
+
+    Characters that a URI can't hold are quoted, a URL without a scheme becomes a URN, and a
+    page without a URL is named by its id.
+    """
     body = (html or "").encode()
+    target = quote(url, safe=_URI) if url else f"urn:page:{quote(str(page_id), safe='')}"
+    if not _SCHEME.match(target):
+        target = f"urn:url:{target}"
+    own = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {target}")
     head = (
-        "WARC/1.0\r\nWARC-Type: response\r\n"
-        f"WARC-Record-ID: <urn:page:{page_id}>\r\n"
-        f"WARC-Target-URI: {(url or '').replace(chr(13), ' ').replace(chr(10), ' ')}\r\n"
-        f"Content-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n"
+        "WARC/1.0\r\nWARC-Type: resource\r\n"
+        f"WARC-Record-ID: <urn:uuid:{own}>\r\n"
+        f"WARC-Date: {date}\r\n"
+        f"WARC-Target-URI: {target}\r\n"
+        f"Content-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n"
     )
     return head.encode() + body + b"\r\n\r\n"
 
 
-def archive(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Pages as WARC records in volumes: `place, volume, offset, page_id, record`, written.
+def archive(
+    pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html", date: str = CAPTURED
+) -> DataFrame:
+    """Pages as WARC records: `place, volume, offset, page_id, record`.
 
-    Each task fills volumes of its own, one after the other, to at most 64 MB (a
-    longer record is a volume alone), so neither a key nor the driver limits it.
-    `place` orders records over all volumes.  Nulls are empty texts; repeated pages
-    are records of their own.  Other columns are not kept.
+    `place` is where a record starts among all bytes of the archive.  A volume is a stretch
+    of 64 MB of it, and a record belongs to the volume that it starts in.  Records are
+    ordered by hashes of their pages, so their places are the same however the pages are
+    dealt over files and tasks.  They are shuffled once, in ranges of these hashes; a task
+    counts within its range, and the sums of the ranges, one number each, give the rest.
+    Nulls are empty texts; repeated pages are records of their own.  `date` is the capture
+    time of all records, as the pages have none.  Other columns are not kept.
     """
     rows = pages.select(
-        F.col(id_column).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")
-    )
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        volume, offset = TaskContext.get().partitionId() << _TASK_BITS, 0
+        F.col(f"`{id_column}`").alias("page_id"),
+        F.col(f"`{url}`").cast("string").alias("url"),
+        F.col(f"`{html}`").cast("string").alias("html"),
+        F.monotonically_increasing_id().alias("row"),
+    ).withColumns({"k1": F.xxhash64("page_id", "url", "html"), "k2": F.xxhash64("html", "url", F.lit(1))})
+    order = ["k1", "k2", "row"]
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("page_id", "url", "html")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            volumes, offsets, records = [], [], []
-            for page_id, link, body in zip(*(column.to_pylist() for column in batch.columns)):
-                own = record(page_id, link, body)
-                if offset and offset + len(own) > 1 << VOLUME_BITS:
-                    volume, offset = volume + 1, 0
-                volumes.append(volume)
-                offsets.append(offset)
-                records.append(own)
-                offset += len(own)
-            places = [(v << VOLUME_BITS) + o for v, o in zip(volumes, offsets)]
+            records = [record(*page, date) for page in zip(*(c.to_pylist() for c in batch.columns))]
+            starts = []
+            for own in records:
+                starts.append(start)
+                start += len(own)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(places, pa.int64()),
-                    pa.array(volumes, pa.int64()),
-                    pa.array(offsets, pa.int64()),
+                    pa.array([part] * len(records), pa.int32()),
+                    pa.array(starts, pa.int64()),
                     batch.column(0),
                     pa.array(records, pa.binary()),
                 ],
-                ["place", "volume", "offset", "page_id", "record"],
+                ["part", "start", "page_id", "record"],
             )
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    schema = f"place long, volume long, offset long, page_id {kind}, record binary"
-    return saved(rows.mapInArrow(packed, schema), "fixity-archive")
+    found = saved(
+        sorted_.mapInArrow(placed, f"part int, start long, page_id {kind}, record binary"), "fixity-records"
+    )
+    sums = found.groupBy("part").agg(F.sum(F.length("record").cast("long")).alias("bytes"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("part", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base"))
+    # One row for each partition of the sort, which is what bounds the window and the broadcast.
+    at = found.join(F.broadcast(bases), "part").withColumn("place", F.col("base") + F.col("start"))
+    return at.select(
+        "place",
+        F.call_function("shiftright", F.col("place"), F.lit(VOLUME_BITS)).alias("volume"),
+        F.col("place").bitwiseAND(F.lit((1 << VOLUME_BITS) - 1)).alias("offset"),
+        "page_id",
+        "record",
+    )
 
 
 def leaves(replica: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Merkle audits find exactly the records that differ."""
 
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
@@ -75,3 +76,27 @@ def test_only_differing_branches_are_read(spark):
     a, b = (fixity.tree(x, hit) for x in sides)
     for level in range(len(a)):
         assert fixity.differing(a[level], b[level]).count() == 1
+
+
+def test_records_follow_the_format(spark):
+    seen = {}
+    for r in fixity.archive(pages(spark)).collect():
+        head, _ = bytes(r["record"]).split(b"\r\n\r\n", 1)
+        version, *fields = head.decode("ascii").split("\r\n")
+        named = dict(field.split(": ", 1) for field in fields)
+        assert version == "WARC/1.0" and len(named) == len(fields)
+        assert named["WARC-Type"] == "resource" and named["Content-Type"].startswith("text/html")
+        assert re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z", named["WARC-Date"])
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", named["WARC-Record-ID"])
+        assert re.fullmatch(r"[A-Za-z][A-Za-z0-9+.-]*:[^\s<>\"{}|\\^`]*", named["WARC-Target-URI"])
+        seen[r["page_id"]] = named["WARC-Record-ID"]
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_places_do_not_follow_the_split(spark):
+    rows = pages(spark)
+    found = []
+    for dealt in (rows.coalesce(1), rows.repartition(7), rows.repartition(3, "url")):
+        archive = fixity.archive(dealt)
+        found.append(sorted((r["place"], bytes(r["record"])) for r in archive.collect()))
+    assert found[0] == found[1] == found[2]

@@ -31,8 +31,8 @@ class Layout:
     buckets times words as a quarter of the keys that are expected.
     """
 
-    buckets: int = 64
-    words: int = 16384
+    buckets: int = 32
+    words: int = 32768
 
 
 def _placed(keys: DataFrame, layout: Layout) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -114,10 +115,14 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return -np.log(three).astype(np.float32)
 
 
+#: The symbols of the characters that have one of their own.
+_KNOWN = {chr(code): int(_TABLE[code]) for code in range(0x250)}
+
+
 def _symbol(character: str) -> int:
-    code = ord(character)
-    if code < 0x250:
-        return int(_TABLE[code])
+    known = _KNOWN.get(character)
+    if known is not None:
+        return known
     return _SYMBOLS - 1 if character.isalpha() else 0
 
 
@@ -151,12 +156,13 @@ def lattice(word: str, spaced: bool = False) -> list[list[tuple[float, str]]]:
     return steps
 
 
-def decode(word: str, costs: np.ndarray, spaced: bool = False) -> str:
+def decode(word: str, costs: np.ndarray | list[float], spaced: bool = False) -> str:
     """The likeliest reading of a disguised word: the cheapest path of its lattice.
 
     A state is the last two symbols; the cheapest way to each is kept (ties: the
-    reading that sorts first).
+    reading that sorts first).  A list of costs has those of the model one after the other.
     """
+    flat = costs if isinstance(costs, list) else costs.ravel().tolist()
     ways: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     links: list = []
     for step in lattice(word, spaced):
@@ -166,7 +172,7 @@ def decode(word: str, costs: np.ndarray, spaced: bool = False) -> str:
                 x, y, sum_ = a, b, cost + price
                 for character in text:
                     z = _symbol(character)
-                    sum_ += float(costs[x, y, z])
+                    sum_ += flat[(x * _SYMBOLS + y) * _SYMBOLS + z]
                     x, y = y, z
                 if (x, y) not in after or (sum_, text) < (after[x, y][0], after[x, y][2]):
                     after[x, y] = (sum_, back, text)
@@ -174,7 +180,9 @@ def decode(word: str, costs: np.ndarray, spaced: bool = False) -> str:
         for state, (sum_, back, text) in after.items():
             links.append((back, text))
             ways[state] = (sum_, len(links) - 1)
-    best = min((sum_ + float(costs[a, b, 0]), back) for (a, b), (sum_, back) in ways.items())
+    best = min(
+        (sum_ + flat[(a * _SYMBOLS + b) * _SYMBOLS], back) for (a, b), (sum_, back) in ways.items()
+    )
     out, at = [], best[1]
     while at != "":
         at, text = links[at]
@@ -185,9 +193,12 @@ def decode(word: str, costs: np.ndarray, spaced: bool = False) -> str:
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*][^\W_]){2,}(?![^\W_])")
 #: Marks around a word: all but signs that stand for a letter there, and at its end all but
 #: those that no sentence ends with.
+_BEFORE = "".join(c for c in string.punctuation if c not in "@$|+!")
+_AFTER = "".join(c for c in string.punctuation if c not in "@$")
 _LEAD = re.compile(r"^(?:(?![@$€£|+!])[\W_])+")
 _TAIL = re.compile(r"(?:(?![@$€£])[\W_])+$")
 _DOUBLE = re.compile(r"([^\W\d_])\1")
+_TWICE = re.compile(r"(.)(?=\1)", re.DOTALL)
 
 
 class Memory(dict):
@@ -219,7 +230,7 @@ class Restorer:
     """
 
     def __init__(self, costs: np.ndarray):
-        self.costs = costs
+        self.costs = costs.ravel().tolist()
         self.seen = Memory(self.read)
 
     def word(self, raw: str) -> tuple[str, ...]:
@@ -230,7 +241,9 @@ class Restorer:
         return tuple(self._read(raw))
 
     def _read(self, raw: str) -> Iterable[str]:
-        kept = _TAIL.sub("", _LEAD.sub("", raw))
+        kept = raw.lstrip(_BEFORE).rstrip(_AFTER)
+        if not kept.isalpha():
+            kept = _TAIL.sub("", _LEAD.sub("", kept))
         if kept.isalpha():
             return [kept] if not _DOUBLE.search(kept) else self._letters(kept)
         parts = [w for w in re.split(r"[\W_]+", kept) if w]
@@ -249,19 +262,19 @@ class Restorer:
 
     def _letters(self, word: str) -> list[str]:
         """A word of letters of which some follow themselves."""
-        doubles = [i for i in range(1, len(word)) if word[i] == word[i - 1]]
+        doubles = [m.start() + 1 for m in _TWICE.finditer(word)]
         if len(doubles) > 1:
             return [
                 w for at in range(0, len(word), LONGEST) for w in decode(word[at : at + LONGEST], self.costs).split()
             ]
-        # One double: only the three trigrams that hold its second letter differ.
+        # One double: the trigrams that differ are those of the two letters before or after it.
         at = doubles[0]
-        s = [0, 0, *map(_symbol, word[max(0, at - 2) : at + 3]), 0, 0]
-        i = 2 + min(at, 2)
-        twice = sum(float(self.costs[s[k - 2], s[k - 1], s[k]]) for k in range(i, i + 3 - (at + 1 == len(word))))
-        t = s[:i] + s[i + 1 :]
-        once = sum(float(self.costs[t[k - 2], t[k - 1], t[k]]) for k in range(i, i + 2 - (at + 1 == len(word))))
-        return [word] if twice <= once + DOUBLED else [word[:at] + word[at + 1 :]]
+        before = _symbol(word[at - 2]) if at > 1 else 0
+        own = _symbol(word[at])
+        after = _symbol(word[at + 1]) if at + 1 < len(word) else 0
+        costs, row = self.costs, (before * _SYMBOLS + own) * _SYMBOLS
+        twice = costs[row + own] + costs[(own * _SYMBOLS + own) * _SYMBOLS + after]
+        return [word] if twice <= costs[row + after] + DOUBLED else [word[:at] + word[at + 1 :]]
 
     def words(self, text: str) -> Counter:
         """Restored words of a whole text, with the number of times each occurs."""

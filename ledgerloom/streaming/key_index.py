@@ -91,6 +91,8 @@ class KeyIndex:
 
     def possible(self, keys: DataFrame) -> DataFrame | None:
         """Keys whose bits are all set, with their bucket; None if no filter is there."""
+        if not folders.names(self.spark, f"{self.index}/filters"):
+            return None
         placed = _placed(keys, self.layout)
         filters = self._tables("filters", _buckets(placed))
         if filters is None:

@@ -2,7 +2,9 @@
 
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
 from ledgerloom.llm import decontamination as d
@@ -131,3 +133,107 @@ def test_document_and_item_that_repeat_a_word(spark):
     items = spark.createDataFrame([("i", "ha " * 400)], "item_id string, text string")
     rows = d.matches(docs, items).collect()
     assert [(r["doc_id"], r["covered"], r["tiles"][0]["words"]) for r in rows] == [(1, 400, 400)]
+
+
+def shared_places(a, b, size):
+    """Common runs of `size` words with their places on both sides."""
+    sides = []
+    for side in (a, b):
+        places = {}
+        for i in range(len(side) - size + 1):
+            places.setdefault(tuple(side[i : i + size]), []).append(i)
+        sides.append(places)
+    names = {run: n * 0x9E3779B97F4A7C15 % 2**63 for n, run in enumerate(sorted(sides[0].keys() & sides[1].keys()))}
+    return [(n, np.array(sides[0][run]), np.array(sides[1][run])) for run, n in names.items()]
+
+
+@pytest.mark.parametrize("seed", range(150))
+def test_tiles_of_places_equal_the_direct_search(seed):
+    rng = random.Random(seed)
+    letters = ("a", "ab", "abc", "abcdef")[seed % 4]
+    a = [rng.choice(letters) for _ in range(rng.randrange(1, 60))]
+    b = [rng.choice(letters) for _ in range(rng.randrange(1, 40))]
+    if seed % 3:
+        cut = rng.randrange(len(a))
+        b = b[:5] + a[cut:] + b[:3] + a[: cut // 2] + a[cut:]
+    size = 2 + seed % 3
+    assert d.tiles_of_places(shared_places(a, b, size), size) == plain_tiles(a, b, size)
+
+
+def test_repeats_on_both_sides_join_to_a_few_rows(spark):
+    """10,000 equal words, and a phrase of three words 4,000 times, on both sides."""
+    one, three = "ha " * 10_000, "to and fro " * 4_000
+    docs = spark.createDataFrame([(1, one), (2, "so " + three), (3, one + three)], "doc_id long, text string")
+    items = spark.createDataFrame([("a", one), ("b", three)], "item_id string, text string")
+    seeds = d.benchmark_seeds(items)
+    assert seeds.count() == 1 + 3
+    assert sorted(len(r["places"]) for r in seeds.collect()) == [3998, 3999, 3999, 9996]
+    started = time.monotonic()
+    rows = {(r["doc_id"], r["item_id"]): (r["covered"], len(r["tiles"])) for r in d.matches(docs, items).collect()}
+    assert rows == {(1, "a"): (10_000, 1), (2, "b"): (12_000, 1), (3, "a"): (10_000, 1), (3, "b"): (12_000, 1)}
+    assert time.monotonic() - started < 60
+
+
+def test_seeds_that_many_hold_bring_no_pair_together(spark):
+    """Items that share a run of words meet only documents that hold their rare seeds."""
+    phrase = "these five words are common"
+    own = [" ".join(f"w{n}x{i}" for i in range(25)) for n in range(20)]
+    items = [(n, f"{own[n]} {phrase}") for n in range(20)]
+    docs = [(i, f"a{i} b{i} {phrase} c{i}") for i in range(200)]
+    docs += [(1000 + n, f"{phrase} {' '.join(own[n].split()[:16])}") for n in range(20)]
+    docs += [(2000 + n, f"{' '.join(own[n].split()[:9])} and {phrase}") for n in range(20)]
+    docs_ = spark.createDataFrame(docs, "doc_id long, text string")
+    items_ = spark.createDataFrame(items, "item_id long, text string")
+    seeds = d.benchmark_seeds(items_)
+    hits = spark.createDataFrame(
+        [
+            (str(i), i, int(v))
+            for i, text in docs
+            for v in next(d.seeds_of([text], 5)).view(np.int64)
+        ],
+        "key string, doc_id long, seed long",
+    )
+    met = hits.join(d.rare_seeds(hits, seeds, 5, 0.5), "seed").select("doc_id", "item").distinct()
+    assert met.count() == 40
+    got = {(r["doc_id"], r["item_id"], r["covered"]) for r in d.matches(docs_, items_).collect()}
+    assert got == plain_matches(docs, items) and len(got) == 20
+
+
+@pytest.mark.parametrize("coverage", [0.0, 0.2, 0.37, 0.8, 1.0])
+def test_rare_seeds_lose_no_match(spark, coverage):
+    """Against all pairs, for items of many lengths cut to about the coverage."""
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(12)]
+    items = [(n, " ".join(rng.choice(vocabulary) for _ in range(5 + n))) for n in range(30)]
+    docs = []
+    for n in range(120):
+        words_, text = items[n % 30][1].split(), []
+        for _ in range(rng.randrange(1, 4)):
+            start = rng.randrange(len(words_))
+            text += words_[start : start + rng.randrange(5, 14)] + [f"z{rng.randrange(99)}"]
+        docs.append((n, " ".join(text)))
+    found = d.matches(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string"),
+        coverage=coverage,
+    )
+    want = set()
+    for i, text in docs:
+        for item, own in items:
+            covered = sum(k for k, _, _ in plain_tiles(words(text), words(own), 5))
+            if covered and covered / len(words(own)) >= coverage:
+                want.add((i, item, covered))
+    assert {(r["doc_id"], r["item_id"], r["covered"]) for r in found.collect()} == want
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rng = random.Random(3)
+    texts = [
+        " ".join("".join(rng.choice("ab\u00e9") for _ in range(rng.randrange(1, 9))) for _ in range(3000)),
+        "x" * 5000 + " one two three four five " + "y" * 700,
+        ",.;" * 900 + "a b c d e",
+    ]
+    whole = [r.tolist() for r in d.seeds_of(texts, 5)]
+    monkeypatch.setattr(d, "_CHUNK", 512)
+    monkeypatch.setattr(d, "_TABLES", {})
+    assert [r.tolist() for r in d.seeds_of(texts, 5)] == whole

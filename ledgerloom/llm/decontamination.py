@@ -16,22 +16,22 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import free_name, row_key, saved, split_mix, text_of
+from ledgerloom.llm.common import free_name, release, row_key, saved, split_mix, text_of
 
 #: Least words of a tile, and part of an item's words that makes a document dirty.
 MIN_MATCH, COVERAGE = 5, 0.5
 #: Bits of the seed filter that tasks hold: 512 KB, whatever the benchmark's size.
 FILTER_BITS = 1 << 22
 _BASE = 0x9E3779B97F4A7C15 | 1
-#: Bytes whose words are hashed at once; a longer text is a chunk of its own.
-_CHUNK = 1 << 20
+#: Bytes whose words are hashed at once, which take some 40 times as much memory.
+_CHUNK = 1 << 17
 
 
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -104,25 +104,32 @@ def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
     return split_mix(value)
 
 
-def seeds_of(texts: list[str], size: int) -> Iterator[np.ndarray]:
-    """The rolling hashes of each text; short texts are hashed together, long ones in pieces."""
-    lowered = [t.lower().encode() for t in texts]
-    at = 0
-    while at < len(lowered):
-        if len(lowered[at]) > _CHUNK:
-            yield rolling(long_word_hashes(lowered[at]), size)
-            at += 1
-            continue
-        to, total = at, 0
-        while to < len(lowered) and (to == at or total + len(lowered[to]) < _CHUNK):
-            total += len(lowered[to]) + 1
-            to += 1
-        hashes, starts = word_hashes(b" ".join(lowered[at:to]))
-        offsets = np.cumsum([0] + [len(t) + 1 for t in lowered[at:to]])
+def seeds_of(texts: Iterable[str], size: int) -> Iterator[np.ndarray]:
+    """The rolling hashes of each text; short texts are hashed together, long ones in pieces.
+
+    Besides the text at hand no more than a chunk is held.
+    """
+
+    def of_group(group: list[bytes]) -> Iterator[np.ndarray]:
+        hashes, starts = word_hashes(b" ".join(group))
+        offsets = np.cumsum([0] + [len(t) + 1 for t in group])
         cuts = np.searchsorted(starts, offsets)
-        for i in range(to - at):
+        for i in range(len(group)):
             yield rolling(hashes[cuts[i] : cuts[i + 1]], size)
-        at = to
+
+    group: list[bytes] = []
+    total = 0
+    for text in texts:
+        lowered = text.lower().encode()
+        if total + len(lowered) >= _CHUNK:
+            yield from of_group(group)
+            group, total = [], 0
+        if len(lowered) >= _CHUNK:
+            yield rolling(long_word_hashes(lowered), size)
+        else:
+            group.append(lowered)
+            total += len(lowered) + 1
+    yield from of_group(group)
 
 
 def places_by_seed(hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,7 +177,7 @@ def benchmark_seeds(
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = seeds_of(batch.column("text").to_pylist(), size)
+            texts = seeds_of((t.as_py() for t in batch.column("text")), size)
             yield seed_rows(batch, ((n, x, np.arange(len(x))) for n, x in enumerate(texts)))
 
     items = benchmark.select(
@@ -393,7 +400,7 @@ def matches(
     Null and empty texts, and items of fewer than `min_match` words, match nothing.
     Rows that repeat an id and text are one document; an item that repeats an id and
     text is one item, and rows that give one id several texts are judged as one item
-    per text.  Extra columns are not read.  Very long texts are hashed in pieces of 1 MB;
+    per text.  Extra columns are not read.  Very long texts are hashed in pieces;
     a task holds one text, 8 bytes per word, and the places of the seeds of one pair.
     """
     seeds = benchmark_seeds(benchmark, item_id, item_text, min_match)
@@ -402,7 +409,7 @@ def matches(
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value
 
-        def found(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        def found(texts: Iterable[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             for row, hashes in enumerate(seeds_of(texts, min_match)):
                 bit = hashes & np.uint64(FILTER_BITS - 1)
                 hit = np.flatnonzero((known[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1))
@@ -410,7 +417,8 @@ def matches(
                     yield row, hashes[hit], hit
 
         for batch in batches:
-            yield seed_rows(batch, found(batch.column("text").to_pylist()))
+            yield seed_rows(batch, found(t.as_py() for t in batch.column("text")))
+            release()
 
     rows = docs.select(
         F.substring(row_key(id_column, text), 1, 32).alias("key"),

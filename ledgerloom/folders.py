@@ -35,6 +35,13 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(place, True)
 
 
+def rename(spark: SparkSession, path: str, name: str) -> None:
+    """Give a folder its final name."""
+    system, place = _open(spark, path)
+    if not system.rename(place, spark._jvm.org.apache.hadoop.fs.Path(name)):
+        raise OSError(f"{path} could not be renamed to {name}")
+
+
 def complete(spark: SparkSession, path: str) -> bool:
     """A table whose writing job has ended."""
     return exists(spark, f"{path}/_SUCCESS")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import folders
+from ledgerloom.catalog import QUERIES
 from ledgerloom.catalog import inputs as inp
 from ledgerloom.operators import ledger, sketches
 from ledgerloom.plans import invoices
@@ -195,3 +196,34 @@ def test_an_export_that_fails_leaves_no_file(spark, tmp_path):
     assert all(p.name == "factura_20240630_140509.xlsx" for p in everything(path))
     exports.export(rows.limit(0), str(path), at())
     assert len(everything(path)) == rows.count()
+
+
+def test_a_packed_export_takes_few_files_and_little_disk(spark, tmp_path):
+    path, single = tmp_path / "packed", tmp_path / "single"
+    replies = inp.replies(spark, "/root/testdata/sf0.001").select("doc_id", "content", "total_tokens")
+    rows = invoices.checked(replies).withColumn("filename", F.lit("f.pdf")).coalesce(2)
+    exports.pack(rows, str(path), at())
+    assert len([p for p in everything(path) if p.name.endswith(".parquet")]) <= 2
+    assert sum(p.stat().st_size for p in everything(path)) < 600 * rows.count()
+    packed = exports.packed(spark, str(path))
+    exports.unpack(packed.where("factura_id like '%1'"), str(single))
+    wanted = [r.factura_id for r in packed.collect() if r.factura_id.endswith("1")]
+    assert len(everything(single)) == len(wanted) > 0
+    exports.export(rows, str(tmp_path / "all"), at())
+    written = exports.read_lines(spark, str(tmp_path / "all"))
+    assert exports.lines(packed).exceptAll(written).count() == written.exceptAll(exports.lines(packed)).count() == 0
+    assert written.where(F.col("factura_id").isin(wanted)).exceptAll(exports.read_lines(spark, str(single))).count() == 0
+
+
+def test_a_packed_export_that_fails_leaves_no_file(spark, tmp_path):
+    rows = spark.range(4).select(F.expr("if(id = 3, raise_error('broken'), id)").alias("id"))
+    named = invoices.checked(inp.replies(spark, "/root/testdata/sf0.001")).drop("id").limit(1).crossJoin(rows)
+    with pytest.raises(Exception, match="broken"):
+        exports.pack(named.withColumn("filename", F.lit("f.pdf")), str(tmp_path / "out"), at())
+    assert everything(tmp_path / "out") == []
+
+
+@pytest.mark.parametrize("name", ["exported_rows", "exported_files"])
+def test_registered_exports_are_packed(spark, small, name):
+    read = QUERIES[name](spark, small).inputFiles()
+    assert len(read) < 20 and all("/packed-" in file for file in read)

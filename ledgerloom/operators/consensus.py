@@ -11,7 +11,8 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
@@ -24,20 +25,33 @@ MOST_MODELS = 8
 
 
 def votes(replies: DataFrame, fields: list[str], models: list[str]) -> DataFrame:
-    """``doc_id, model, field, value``: what each model says of each field of a document.
+    """``doc_id, field, said``: what the models say of each field of a document, in their order.
 
     A model that answered a document several times counts once, with its least values.
     A missing value is an answer like any other.  Replies of other models do not count.
+    All answers to a document meet in one row, in the only shuffle.
     """
-    if not 1 <= len(set(models)) <= MOST_MODELS:
+    known = sorted(set(models))
+    if not 1 <= len(known) <= MOST_MODELS:
         raise ValueError(f"between 1 and {MOST_MODELS} models can be weighed")
-    once = (
-        replies.where(F.col("model").isin(*models))
-        .groupBy("doc_id", "model")
-        .agg(*[F.min(F.col(f"`{name}`").cast("string")).alias(name) for name in fields])
+    number = F.array_position(F.array(*[F.lit(m) for m in known]), F.col("model")).cast("int")
+    values = [F.col(f"`{name}`").cast("string").alias(f"v{k}") for k, name in enumerate(fields)]
+    numbered = replies.where(F.col("model").isin(*known)).select("doc_id", number.alias("model"), *values)
+    by_model = lambda m, value: F.min(F.when(F.col("model") == m, value))
+    met = numbered.groupBy("doc_id").agg(
+        *[by_model(m, F.lit(True)).alias(f"m{m}") for m in range(1, len(known) + 1)],
+        *[by_model(m, F.col(f"v{k}")).alias(f"m{m}v{k}") for m in range(1, len(known) + 1) for k in range(len(fields))],
     )
-    lines = [F.struct(F.lit(name).alias("field"), F.col(f"`{name}`").alias("value")) for name in fields]
-    return once.select("doc_id", "model", F.inline(F.array(*lines)))
+
+    def said(k: int) -> Column:
+        votes_of = [
+            F.when(F.col(f"m{m}"), F.struct(F.lit(name).alias("model"), F.col(f"m{m}v{k}").alias("value")))
+            for m, name in enumerate(known, 1)
+        ]
+        return F.array_compact(F.array(*votes_of)).alias("said")
+
+    lines = [F.struct(F.lit(name).alias("field"), said(k)) for k, name in enumerate(fields)]
+    return met.select("doc_id", F.inline(F.array(*lines)))
 
 
 def patterns(cast: DataFrame) -> DataFrame:
@@ -47,9 +61,6 @@ def patterns(cast: DataFrame) -> DataFrame:
     place of the first model that says so.  The pattern is these places as text.  A list has
     one entry for each model, so no group is larger than that.
     """
-    listed = cast.groupBy("doc_id", "field").agg(
-        F.sort_array(F.collect_list(F.struct("model", "value"))).alias("said")
-    )
     marked = F.transform(
         "said",
         lambda vote: F.struct(
@@ -63,7 +74,7 @@ def patterns(cast: DataFrame) -> DataFrame:
     pattern = F.array_join(
         F.transform("answers", lambda a: F.concat_ws(":", a["model"], a["same"])), ","
     )
-    return listed.select("doc_id", "field", marked.alias("answers")).withColumn("pattern", pattern)
+    return cast.select("doc_id", "field", marked.alias("answers")).withColumn("pattern", pattern)
 
 
 def _posterior(members: list[tuple[str, int]], accuracy: dict[str, float]) -> dict[int, float]:
@@ -120,7 +131,10 @@ def scored(replies: DataFrame, fields: list[str], models: list[str], rounds: int
         likely = _posterior(_members(pattern), accuracy)
         place = min(likely, key=lambda p: (-round(likely[p], 9), p))
         chosen.append((pattern, place, likely[place]))
-    table = replies.sparkSession.createDataFrame(chosen, "pattern STRING, place INT, confidence DOUBLE")
+    # From Arrow it is a local table of known size, so that it is broadcast; the answers stay put.
+    kinds = pa.schema([("pattern", pa.string()), ("place", pa.int32()), ("confidence", pa.float64())])
+    rows = [dict(zip(kinds.names, row)) for row in chosen]
+    table = replies.sparkSession.createDataFrame(pa.Table.from_pylist(rows, kinds))
     return answered.join(table, "pattern").select(
         "doc_id", "field", F.element_at("answers", F.col("place"))["value"].alias("value"), "confidence"
     )

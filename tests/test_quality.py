@@ -129,6 +129,23 @@ def test_models_are_bounded(spark):
         consensus.votes(replies, ["a"], [f"m{i}" for i in range(9)])
 
 
+def test_answers_are_shuffled_once(spark):
+    """Of each pass; neither the join with the patterns nor the mean of a document deals them again."""
+    replies = spark.createDataFrame([(1, "m1", "x", "y"), (1, "m2", "x", "z")], "doc_id INT, model STRING, a STRING, b STRING")
+    scored = consensus.scored(replies, ["a", "b"], ["m1", "m2"])
+    for rows in (scored, consensus.documents(scored)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
+def test_repeated_and_missing_answers(spark):
+    rows = [(None, "m1", "p"), (1, "m1", "b"), (1, "m1", "a"), (1, "m1", None), (1, "m2", None), (2, None, "q"), (3, "m2", None)]
+    replies = spark.createDataFrame(rows, "doc_id INT, model STRING, `a.b` STRING")
+    found = consensus.votes(replies, ["a.b"], ["m2", "m1", "m3"]).collect()
+    said = {r.doc_id: (r.field, [tuple(v) for v in r.said]) for r in found}
+    assert said == {None: ("a.b", [("m1", "p")]), 1: ("a.b", [("m1", "a"), ("m2", None)]), 3: ("a.b", [("m2", None)])}
+
+
 # ------------------------------------------------------------------- payload fields
 def plain_fields(value, depth, path=""):
     inner = (

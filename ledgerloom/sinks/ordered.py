@@ -1,8 +1,9 @@
 """The ledger in list order with a directory of its files, for direct access to any page.
 
-Rows are range-partitioned by time, newest first, and id.  The directory has one row a
-file: its first and last key, its rows, and how many rows lie before it.  A page opens
-the files that hold it and sorts their rows only, however deep it lies.
+Rows are range-partitioned by time, newest first, and id, and each part is cut into files in
+that order.  The directory has one row a file: its first and last key, its rows, and how many
+rows lie before it.  A page opens the files that hold it and sorts their rows only, however
+deep it lies.
 
     path/rows-<name>       files in list order
     path/directory-<nnn>   the directory; the last complete one counts
@@ -19,6 +20,9 @@ from ledgerloom import folders
 
 #: Rows of a file, by which a page is sorted at most twice over.
 ROWS_PER_FILE = 100_000
+#: A task writes so many files, as long as they have so many rows at most.  Each task sends samples
+#: and its result to the driver, so small files take no task each.
+FILES_PER_TASK, ROWS_PER_TASK = 100, 500_000
 
 _ORDER = ("fecha_registro", "id")
 
@@ -53,9 +57,11 @@ def append(headers: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) ->
 
 def _written(headers: DataFrame, path: str, rows_per_file: int) -> str:
     place = f"{path}/rows-{uuid.uuid4().hex}"
-    files = max(1, -(-headers.count() // rows_per_file))
-    ordered = headers.repartitionByRange(files, F.desc_nulls_last("fecha_registro"), F.asc("id"))
-    ordered.sortWithinPartitions(F.desc_nulls_last("fecha_registro"), F.asc("id")).write.parquet(place)
+    rows_per_task = max(rows_per_file, min(ROWS_PER_TASK, FILES_PER_TASK * rows_per_file))
+    tasks = max(1, -(-headers.count() // rows_per_task))
+    order = (F.desc_nulls_last("fecha_registro"), F.asc("id"))
+    ordered = headers.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    ordered.write.option("maxRecordsPerFile", rows_per_file).parquet(place)
     return place
 
 
@@ -102,7 +108,8 @@ def page(spark: SparkSession, path: str, limit: int = 50, offset: int = 0) -> Da
     """Newest headers first: skip ``offset``, keep ``limit``; ties by id, undated last.
 
     The directory names the files that hold these rows: one, or two where the page lies
-    on a border, as long as a file has at least ``limit`` rows.
+    on a border, as long as a file has at least ``limit`` rows.  The last file of a task may
+    have fewer, and a page across it opens three.
     """
     known = directory(spark, path)
     if known is None:

@@ -52,6 +52,20 @@ def test_any_page_opens_two_files_at_most(spark, tmp_path):
     assert known.count() == 10
 
 
+def test_files_take_no_task_each(spark, tmp_path, monkeypatch):
+    path, rows = str(tmp_path / "ledger"), headers(spark, 0, 4000, undated=3)
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", 1500)
+    ordered.write(rows, path, rows_per_file=40)
+    known = [r.file for r in ordered.directory(spark, path).collect()]
+    assert len(known) >= 100
+    assert len({name.rsplit("/", 1)[1].split("-")[1] for name in known}) <= 3
+    assert ordered.directory(spark, path).agg(F.max("rows")).first()[0] == 40
+    for offset in (0, 39, 1330, 1499, 2700, 3990):
+        page = ordered.page(spark, path, 40, offset)
+        assert keys(page) == expected(rows, 40, offset)
+        assert len(files_of(page)) <= 3
+
+
 def test_newer_rows_go_in_front_and_others_are_sorted_in(spark, tmp_path):
     path, rows = str(tmp_path / "ledger"), headers(spark, 0, 900)
     ordered.append(rows, path, rows_per_file=300)

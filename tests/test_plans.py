@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.catalog import QUERIES
 from ledgerloom.catalog import inputs as inp
+from ledgerloom.functions import replies as rp
+from ledgerloom.functions import text as tx
 from ledgerloom.operators import ledger, pages, replies
 from ledgerloom.plans import documents as plan
 
@@ -111,3 +113,9 @@ def test_hot_invoice_is_split_in_the_detail_join(spark):
         for key in conf:
             spark.conf.unset(key)
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_the_gate_computes_its_text_once(spark, small):
+    table = spark.read.parquet(inp.replies_path(spark, small))
+    gated = table.select(rp.is_json_object(tx.unfence(F.col("content"))))
+    assert text_of(gated).count("```json") <= 2 * text_of(table.select(tx.unfence(F.col("content")))).count("```json")

@@ -119,3 +119,8 @@ def test_the_gate_computes_its_text_once(spark, small):
     table = spark.read.parquet(inp.replies_path(spark, small))
     gated = table.select(rp.is_json_object(tx.unfence(F.col("content"))))
     assert text_of(gated).count("```json") <= 2 * text_of(table.select(tx.unfence(F.col("content")))).count("```json")
+
+
+def test_replies_of_no_file_are_not_judged(spark, small):
+    text = text_of(QUERIES["pipeline_result"](spark, small))
+    assert "LeftSemi" in text and text.rindex("LeftSemi") > text.index("partial_min(")

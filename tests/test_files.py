@@ -1,8 +1,12 @@
 """Landing folders, scans, listing, pluggable extractors."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
+from ledgerloom.operators import texts
+from ledgerloom.plans import flow
 from ledgerloom.plans.intake import folder_verdicts
 from ledgerloom.schemas import Settings
 from ledgerloom.sources import extractors, files
@@ -83,3 +87,29 @@ def test_extractor_errors_stay_in_their_row(spark):
     assert found["3"].pages is None and found["3"].error == fv.UNKNOWN_METHOD + "other"
     assert found["4"].pages is None and found["4"].error.startswith("UnicodeDecodeError")
     assert extractors.plain_text_pages("á\f".encode()) == ["á", ""]
+
+
+def test_results_depend_on_cleaning_and_prompt(spark):
+    first = "%PDF a first page with enough letters"
+    texts_ = {1: first, 2: first.replace(" ", " \t "), 3: first + " more", 4: "no file of that kind", 5: "%PDF"}
+    rows = [
+        (i, f"d{i}.pdf", f"in/d{i}.pdf", len(t), t.startswith("%PDF"), t.encode()) for i, t in texts_.items()
+    ]
+    landed = spark.createDataFrame(
+        rows,
+        "doc_id LONG, filename STRING, file_path STRING, size_bytes LONG, has_pdf_magic BOOLEAN, content BINARY",
+    )
+    replies = spark.createDataFrame(
+        [(i, '{"total": 1}', 5) for i in texts_], "doc_id LONG, content STRING, total_tokens LONG"
+    )
+    found = flow.results(landed, {"PyMuPDF": extractors.plain_text_pages}, replies)
+    assert fv.USER_PROMPT[:40] in found._jdf.queryExecution().executedPlan().toString()
+    done = {r.doc_id: r for r in found.collect()}
+    assert [done[i].status for i in (1, 2, 3, 4, 5)] == ["COMPLETED"] * 3 + ["FAILED"] * 2
+    # Cleaning makes the first two the same; the third has a prompt of its own.
+    assert done[1].request_digest == done[2].request_digest != done[3].request_digest
+    prompt = f"--- PÁGINA 1 --- {first.upper()}".join(fv.USER_PROMPT.split(fv.PROMPT_PLACEHOLDER))
+    rows = spark.createDataFrame([(1, fv.SYSTEM_PROMPT, prompt)], "doc_id LONG, system_prompt STRING, user_prompt STRING")
+    sent = texts.requests(rows).first().request
+    assert done[1].request_digest == hashlib.sha256(sent.encode()).hexdigest()
+    assert done[4].request_digest is None and done[5].request_digest is None

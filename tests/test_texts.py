@@ -180,3 +180,18 @@ def test_chunks_overlap_and_cover_all_words(spark):
     assert [(r.doc_id, r.chunk.split()[0], r.chunk.split()[-1]) for r in rows] == [
         (1, "0", "9"), (1, "7", "16"), (1, "14", "23"), (1, "21", "24"), (4, "a", "a"),
     ]
+
+
+def test_no_prompt_no_result(spark):
+    prepared = spark.createDataFrame(
+        [(1, "PROCESSING", fv.NO_PROMPT_TEXT, fv.STAGES[1]), (2, "PROCESSING", None, fv.STAGES[1])],
+        "doc_id LONG, status STRING, error STRING, processing_stage STRING",
+    )
+    replies = spark.createDataFrame(
+        [(1, '{"total": 1}', 5), (2, '{"total": 1}', 5)], "doc_id LONG, content STRING, total_tokens LONG"
+    )
+    done = {r.doc_id: r for r in plan.finish(prepared, replies).collect()}
+    assert (done[1].status, done[1].processing_stage) == ("FAILED", fv.STAGES[3])
+    assert done[1].error == fv.REPLY_STEP_ERROR + fv.NO_PROMPT_TEXT
+    assert (done[1].field_count, done[1].tokens_used, done[1].extracted_data) == (0, 0, None)
+    assert (done[2].status, done[2].error, done[2].tokens_used) == ("COMPLETED", None, 5)

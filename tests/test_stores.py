@@ -1,7 +1,10 @@
 """Ordered ledger with its directory, stored sketches, and one export per invoice."""
 
 import datetime
+import io
 import random
+import zipfile
+from xml.sax.saxutils import escape
 
 import pytest
 from pyspark.sql import functions as F
@@ -241,3 +244,75 @@ def test_a_packed_export_that_fails_leaves_no_file(spark, tmp_path):
 def test_registered_exports_are_packed(spark, small, name):
     read = QUERIES[name](spark, small).inputFiles()
     assert len(read) < 20 and all("/packed-" in file for file in read)
+
+
+def test_workbooks_are_as_the_zip_module_writes_them():
+    def whole(lines, method):
+        rows, section = [], None
+        for line in lines:
+            if line["section"] != section:
+                section = line["section"]
+                rows.append([section])
+            rows.append([line["label"], line["value"], line["row_no"]])
+        sheet = exports._SHEET_HEAD
+        for n, cells in enumerate(rows, 1):
+            sheet += f'<row r="{n}">'
+            for letter, value in zip("ABC", cells):
+                if isinstance(value, int):
+                    sheet += f'<c r="{letter}{n}"><v>{value}</v></c>'
+                elif value is not None:
+                    text = escape(exports._NOT_XML.sub("�", value)).replace("\r", "&#13;")
+                    sheet += f'<c r="{letter}{n}" t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>'
+            sheet += "</row>"
+        return exports._archive({exports._SHEET: sheet + exports._SHEET_TAIL}, method, exports._fixed_parts(method))
+
+    rng = random.Random(2)
+    texts = ["", "PEN 1.00", "100%", "%s %d %%", "a & b", "<t>", "&lt;", "\r\n", "\x00￾", "]]>", "ñ\U0001f600", None]
+    for count in (0, 1, 5, 40, 600):
+        for method in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+            lines = [
+                {
+                    "section": rng.choice(["A", "B & C", "%s"]),
+                    "row_no": rng.randrange(-3, 10**6),
+                    "label": rng.choice(texts[:-1]),
+                    "value": rng.choice(texts),
+                }
+                for _ in range(count)
+            ]
+            content = exports.workbook(lines, method)
+            assert content == whole(lines, method)
+            found, parsed = exports._line_columns(content), exports._parsed_columns(content)
+            assert [list(column) for column in found] == [*parsed]
+            assert len(found[0]) == count
+
+
+def test_own_workbooks_are_read_without_a_parser(monkeypatch):
+    lines = [{"section": "S & T", "row_no": n, "label": "<l>", "value": "100 %s"} for n in range(9)]
+    content = exports.workbook(lines, zipfile.ZIP_STORED)
+    want = [("S & T", n, "<l>", "100 %s") for n in range(9)]
+    monkeypatch.setattr(exports.ET, "fromstring", None)
+    assert exports.sheet_lines(content) == want
+
+
+def test_workbooks_of_others_are_parsed():
+    lines = [{"section": "S", "row_no": 1, "label": "l", "value": "v"}]
+    own = exports.workbook(lines, zipfile.ZIP_STORED)
+    with zipfile.ZipFile(io.BytesIO(own)) as archive:
+        sheet = archive.read(exports._SHEET).decode()
+    start = exports._fixed_parts(zipfile.ZIP_STORED)
+    for old, new, want in (
+        (">v</t>", ">&quot;v&#x41;</t>", '"vA'),
+        (">v</t>", ">a\r\nb</t>", "a\nb"),
+        (">v</t>", "><![CDATA[<v>]]></t>", "<v>"),
+        (">v</t>", ">a>b</t>", "a>b"),
+        ("<row ", '<!-- <row r="9"/> --><row ', "v"),
+        ('<row r="2">', '<row r="2" spans="1:3">', "v"),
+        (">v</t></is></c>", ">v</t></is></c ><c r='D2'/>", "v"),
+    ):
+        other = exports._archive({exports._SHEET: sheet.replace(old, new)}, zipfile.ZIP_STORED, start)
+        assert exports.sheet_lines(other) == [("S", 1, "l", want)], new
+    with pytest.raises(zipfile.BadZipFile):
+        exports.sheet_lines(own.replace(b">v</t>", b">w</t>"))
+    bad = exports._archive({exports._SHEET: sheet.replace(">v</t>", ">&nope;</t>")}, zipfile.ZIP_STORED, start)
+    with pytest.raises(exports.ET.ParseError):
+        exports.sheet_lines(bad)
